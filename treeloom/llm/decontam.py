@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 
-STRIDE, WALKS, SAMPLES, BITS = 4, 2, 8, 3
+STRIDE, WALKS, SAMPLES, BITS = 4, 2, 12, 4
 MAX_EDITS = 0.2
 SHARD_WORDS = 2_000_000
 #: Items of w words are sampled within the first 1.25 of the largest class up to w steps.
@@ -163,6 +163,9 @@ class Matcher:
             best = out.get((int(r), int(i)))
             if best and best[0] == 0:
                 continue
+            # Every word of the item that isn't there at all costs an edit.
+            if len(words) - np.isin(words, h[lo:hi]).sum() > most:
+                continue
             cost, b, en = edit_fit(words, h[lo:hi])
             if cost <= most and (best is None or cost < best[0]):
                 out[int(r), int(i)] = (cost, lo + b - int(tok[r]), lo + en - int(tok[r]))

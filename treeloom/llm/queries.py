@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontam, langid, neardup, packing, secretscan
+from . import decontam, langid, license_scan, lm_score, mpegts, neardup, packing, pii_crf, secretscan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": license_scan.query,
+    "op2_lm_score": lm_score.query,
+    "op3_mpeg_ts": mpegts.query,
     "op4_best_fit_packing": packing.query,
+    "op5_pii_crf": pii_crf.query,
+    "op6_toxicity": toxicity.query,
     "op7_decontamination": decontam.query,
     "op8_near_duplicates": neardup.query,
     "op9_language_id": langid.query,
@@ -19,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
