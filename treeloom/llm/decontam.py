@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import text_batches
 
 STRIDE, WALKS, SAMPLES, BITS = 4, 2, 12, 4
 MAX_EDITS = 0.2
@@ -206,7 +207,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             m = Matcher(shared.value)
             ids_of = shared.value["ids"]
-            for b in batches:
+            for b in tv.batches(batches):
                 ids, texts = tv.column(b, 0), tv.column(b, 1)
                 for lo, hi in tv.slices(texts):
                     got = m.match(texts.slice(lo, hi - lo))
@@ -228,7 +229,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, shared=shared):
             m = Matcher(shared.value)
-            for b in batches:
+            for b in tv.batches(batches):
                 texts = tv.column(b, at)
                 for lo, hi in tv.slices(texts):
                     keep = np.ones(hi - lo, bool)
@@ -241,4 +242,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents."""
+    text_batches(spark)
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import text_batches
 
 ORDER = 3
 UNKNOWN = "und"
@@ -58,7 +59,7 @@ def train(docs: DataFrame, per_language: int = 300) -> dict:
 
     def count(batches):
         by: dict = {}
-        for b in batches:
+        for b in tv.batches(batches):
             langs, texts = tv.column(b, 0).to_pylist(), tv.column(b, 1)
             for i, lang in enumerate(langs):
                 data, off = tv.buffer(texts.slice(i, 1))
@@ -171,7 +172,7 @@ def identify(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_bits: fl
         langs = shared.value["langs"]
         letter = np.zeros(256, bool)
         letter[65:91] = letter[97:123] = letter[128:] = True
-        for b in batches:
+        for b in tv.batches(batches):
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             for lo, hi in tv.slices(texts):
                 data, off = tv.buffer(texts.slice(lo, hi - lo))
@@ -205,7 +206,7 @@ def keep_identified(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_b
         langs = shared.value["langs"]
         letter = np.zeros(256, bool)
         letter[65:91] = letter[97:123] = letter[128:] = True
-        for b in batches:
+        for b in tv.batches(batches):
             texts = tv.column(b, at)
             for lo, hi in tv.slices(texts):
                 if not langs:
@@ -221,5 +222,6 @@ def keep_identified(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_b
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and code length of every document."""
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, train(docs))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import materialize
+from .shared import materialize, text_batches
 
 ORDER, MIN_SHARE = 5, 1e-6
 STRETCH = 512
@@ -49,7 +49,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         c = tv.Counter64()
-        for b in batches:
+        for b in tv.batches(batches):
             texts = tv.column(b, 0)
             for lo, hi in tv.slices(texts, 4 * tv.SLICE_BYTES):
                 data, off = tv.buffer(texts.slice(lo, hi - lo))
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         tr = Traverser(shared.value)
-        for b in batches:
+        for b in tv.batches(batches):
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             for lo, hi in tv.slices(texts, 4 * tv.SLICE_BYTES):
                 data, off = tv.buffer(texts.slice(lo, hi - lo))
@@ -227,5 +227,6 @@ def train(docs: DataFrame, min_share: float = MIN_SHARE) -> dict:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under the model of all documents."""
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import text_batches
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, VIDEO_PID, AUDIO_PID = 0x1000, 0x100, 0x101
@@ -235,7 +236,7 @@ def demux(streams: DataFrame, column: str = "ts", id_column: str = "doc_id") ->
     """
 
     def run(batches):
-        for b in batches:
+        for b in tv.batches(batches):
             ids, data = tv.column(b, 0).to_pylist(), tv.column(b, 1)
             for lo in range(0, len(ids), 200):
                 part = [parse(x) if x is not None else {"status": "null", "n_packets": 0, "streams": []} for x in data.slice(lo, 200).to_pylist()]
@@ -248,7 +249,7 @@ def mux_texts(docs: DataFrame) -> DataFrame:
     """doc_id, ts: each text's UTF-8 bytes as a transport stream, null for a null text."""
 
     def run(batches):
-        for b in batches:
+        for b in tv.batches(batches):
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             for lo, hi in tv.slices(texts, 8 * tv.SLICE_BYTES):
                 yield pa.record_batch([ids.slice(lo, hi - lo), pa.array([None if t is None else mux(t) for t in texts.slice(lo, hi - lo).to_pylist()], pa.binary())], ["doc_id", "ts"])
@@ -258,4 +259,5 @@ def mux_texts(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elementary streams of all documents' transport streams."""
+    text_batches(spark)
     return demux(mux_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))

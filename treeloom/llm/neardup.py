@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import materialize
+from .shared import materialize, text_batches
 
 M, BAND, BASE, A, Q = 96, 3, 1.001, 20.0, 65534
 SHINGLE, THRESHOLD, MARGIN, BLOCK = 3, 0.5, 0.16, 4096
@@ -90,7 +90,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, h1, h2, regs, bands of every row with an id and a word."""
 
     def run(batches):
-        for b in batches:
+        for b in tv.batches(batches):
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             for lo, hi in tv.slices(texts):
                 n, h1, h2, regs = sketch_texts(texts.slice(lo, hi - lo))
@@ -178,7 +178,7 @@ def _pairs_of_sorted(batches):
         pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    for b in batches:
+    for b in tv.batches(batches):
         if not b.num_rows:
             continue
         held.append(b)
@@ -232,7 +232,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
-        for t in batches:
+        for t in tv.batches(batches):
             x, y = tv.column(t, 2), tv.column(t, 3)
             for lo, hi in tv.slices(x):
                 sim = jaccard_of_texts(x.slice(lo, hi - lo), y.slice(lo, hi - lo))
@@ -306,4 +306,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
+    text_batches(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import text_batches
 
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN"]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -329,7 +330,7 @@ def find(docs: DataFrame, model: CRF | None = None) -> DataFrame:
 
     def run(batches):
         dec = Decoder(shared.value)
-        for b in batches:
+        for b in tv.batches(batches):
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             for lo, hi in tv.slices(texts):
                 got = dec.spans(texts.slice(lo, hi - lo))
@@ -342,4 +343,5 @@ def find(docs: DataFrame, model: CRF | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
+    text_batches(spark)
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))

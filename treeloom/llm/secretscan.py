@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import text_batches
 
 THRESHOLD = 0.5
 REDACTED = "<SECRET>"
@@ -194,7 +195,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in tv.batches(batches):
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             rows = [(k, *s) for k, t in enumerate(texts.to_pylist()) for s in find_secrets(t)]
             if rows:
@@ -229,7 +230,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in tv.batches(batches):
             texts = tv.column(b, at)
             new = [t if t is None or not ("=" in t or ":" in t) else redact_text(t) for t in texts.to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, texts.type))
@@ -243,4 +244,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
+    text_batches(spark)
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

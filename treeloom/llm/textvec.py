@@ -1,19 +1,21 @@
 """Text kernels that work on whole Arrow string buffers with numpy.
 
 A column of texts arrives as one byte buffer with offsets; words, hashes and
-n-grams are computed for all of them at once, in slices of about a megabyte so
+n-grams are computed for all of them at once, in slices of half a megabyte so
 that temporaries stay in cache and memory doesn't depend on the batch size.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 
@@ -51,6 +53,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: memory goes back when it sees fit
+        return None
+
+
+def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; what they took goes back to the system when they end.
+
+    Python workers outlive their tasks and share an executor's memory with the
+    JVM, so what a task freed mustn't stay with the allocators.
+    """
+    yield from source
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, i: int) -> pa.Array:
     a = batch.column(i)
     return a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
