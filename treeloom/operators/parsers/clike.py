@@ -82,7 +82,7 @@ class _Parser:
 
     def leaf(self) -> Node:
         _, t, a, b, _ = self.toks[self.pos]
-        self.pos += 1
+        self.pos = min(self.pos + 1, len(self.toks) - 1)
         return Node(t, a, b, named=False)
 
     def here(self) -> int:
@@ -120,6 +120,8 @@ class _Parser:
         got = f()
         if self.pos == before:
             k, t, a, b, _ = self.toks[self.pos]
+            if k == "eof":
+                return []
             self.pos += 1
             return [Node("ERROR", a, b, [Node(t, a, b, named=False)])]
         return got if isinstance(got, list) else [got] if got is not None else []
@@ -160,7 +162,7 @@ class _Parser:
             depth -= self.is_(">") and depth > 0
             if self.is_(")", "}", "]"):
                 break
-            kids.append(self.primary() if self.kind in ("name", "str", "num") else self.leaf())
+            kids.append(self.primary() or self.leaf())
         if not kids:
             return None
         return kids[0] if len(kids) == 1 and kids[0].named else inner(kind, kids)

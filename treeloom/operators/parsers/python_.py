@@ -122,7 +122,7 @@ class _Parser:
 
     def leaf(self) -> Node:
         k, t, a, b = self.toks[self.pos]
-        self.pos += 1
+        self.pos = min(self.pos + 1, len(self.toks) - 1)
         return Node(t, a, b, named=False)
 
     def is_(self, *texts: str) -> bool:
