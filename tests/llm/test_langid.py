@@ -1,0 +1,87 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from treeloom.llm import langid
+from treeloom.llm import textvec as tv
+
+
+def brute_bits(train: list[bytes], text: bytes) -> float:
+    """PPM-C, byte by byte, with counts in dictionaries."""
+    k = langid.ORDER
+    counts: dict[bytes, Counter] = {}
+    for t in train:
+        t = b"\0" * k + t
+        for i in range(k, len(t)):
+            for j in range(k + 1):
+                counts.setdefault(t[i - j : i], Counter())[t[i]] += 1
+    bits, text = 0.0, b"\0" * k + text
+    for i in range(k, len(text)):
+        for j in range(k, -1, -1):
+            c = counts.get(text[i - j : i])
+            if c is None:
+                continue
+            total = sum(c.values()) + len(c)
+            if text[i] in c:
+                bits -= math.log2(c[text[i]] / total)
+                break
+            bits -= math.log2(len(c) / total)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_are_exact():
+    train = {"en": [b"the cat sat on the mat", b"a dog"], "fr": ["le chat était là".encode(), b"un chien"]}
+    rows = []
+    for lang, texts in train.items():
+        for t in texts:
+            data = np.frombuffer(t, np.uint8)
+            g, n = np.unique(langid._grams(data, np.array([0, len(t)]), langid.ORDER + 1), return_counts=True)
+            rows += [(lang, int(a), int(b)) for a, b in zip(g, n)]
+    model = langid.code_lengths(pd.DataFrame(rows, columns=["lang", "gram", "n"]).groupby(["lang", "gram"], as_index=False).sum())
+    texts = ["the chat sat", "zzz 漢", "", "a", "le mat était"]
+    data, off = tv.buffer(pa.array(texts))
+    got = langid.Scorer(model).bits(data, off)
+    want = [[brute_bits(train[x], t.encode()) for x in ("en", "fr")] for t in texts]
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train = docs.where("doc_id % 2 = 0")
+    test = docs.where("doc_id % 2 = 1 and length(text) > 40")
+    got = langid.identify(test, langid.train(train)).join(test.select("doc_id", "lang"), "doc_id")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_id")).cast("int"))).first()[0] > 0.98
+
+
+def test_odd_rows(odd, empty, docs, spark):
+    model = langid.train(docs)
+    got = langid.identify(odd, model).collect()
+    assert len(got) == odd.count()
+    by = {r.doc_id: r.lang_id for r in got if r.doc_id is not None}
+    assert by[1] == by[2] == "en" and by[4] == by[5] == by[6] == by[11] == "und"
+    kept = langid.keep_identified(odd, model)
+    assert kept.columns == odd.columns
+    want = sorted((str(r.doc_id) for r in got if r.lang_id != "und"))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == want
+    assert langid.identify(empty, model).count() == 0
+    nothing = langid.train(empty)
+    assert {r.lang_id for r in langid.identify(odd, nothing).collect()} == {"und"} and langid.keep_identified(odd, nothing).count() == 0
+    assert langid.train(odd)["langs"] == ["en", "fr"]
+
+
+def test_noise_is_rejected(spark, docs):
+    import base64
+    import random
+
+    r = random.Random(3)
+    noise = [(i, base64.b85encode(r.randbytes(600)).decode(), "en") for i in range(20)]
+    model = langid.train(docs)
+    got = langid.identify(spark.createDataFrame(noise, "doc_id long, text string, lang string"), model)
+    assert got.where("lang_id <> 'und'").count() == 0
+    assert langid.keep_identified(docs, model).count() == docs.count()

@@ -32,7 +32,7 @@ TOKEN = re.compile(
     r"""
     (?P<nl>\n)
   | (?P<ws>[^\S\n]+)
-  | (?P<str>\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?:[^"\\\n]|\\.)*"|(?<![^\W_])'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*?`)
+  | (?P<str>(?:(?<!\w)[fFrRbBuU]{1,2}(?=["']))?(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?:[^"\\\n]|\\.)*"|(?<![^\W_])'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*?`))
   | (?P<op>:=|=>|\+=|==|!=|<=|>=|->|::|[=:+,;()\[\]{}.])
   | (?P<name>[^\W\d][\w]*(?:-[^\W\d_][\w]*)*)
   | (?P<other>[^\s\w"'`=:+,;()\[\]{}.]|\d[\w.]*|.)
@@ -86,6 +86,7 @@ def randomness(value: str) -> float:
 
 
 def unquote(raw: str) -> str:
+    raw = raw.lstrip("fFrRbBuU")
     q = 3 if raw[:3] in ('"""', "'''") else 1
     return re.sub(r"\\(.)", r"\1", raw[q:-q])
 
@@ -134,6 +135,7 @@ def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
                         continue
                     if k == "str":
                         parts.append(fill(unquote(t)))
+                        vb += len(t) - len(t.lstrip("fFrRbBuU"))
                         begin, end, ok = vb if begin is None else begin, ve, True
                     elif k == "name" and t in known and not (op == ":" and not ok and j + 1 < n and toks[j + 1][1] in ASSIGN):
                         parts.append(known[t])
