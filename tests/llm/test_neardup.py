@@ -87,6 +87,20 @@ def test_sketches_merge_and_estimate():
     assert abs(est[0] - 0.5) < 0.17
 
 
+def test_joint_estimate_is_the_maximum():
+    rng = np.random.default_rng(3)
+    log_b, step = np.log(neardup.BASE), (neardup.BASE - 1) / neardup.BASE
+    for _ in range(300):
+        more, less = rng.integers(0, neardup.M // 2, 2)
+        n_u, n_v = rng.uniform(50, 200, 2)
+        u, v, equal = n_u / (n_u + n_v), n_v / (n_u + n_v), neardup.M - more - less
+        j = np.linspace(1e-6, min(u / v, v / u) - 1e-6, 20001)
+        p, q = (-np.log1p(-x * step) / log_b for x in (u - v * j, v - u * j))
+        best = j[np.argmax(more * np.log(p) + less * np.log(q) + equal * np.log(np.maximum(1 - p - q, 1e-300)))]
+        got = neardup.joint_estimate(np.array([more]), np.array([less]), np.array([n_u]), np.array([n_v]))[0]
+        assert abs(got - best) < 2e-3
+
+
 def test_hot_buckets_in_blocks(spark, monkeypatch):
     from tests.llm.conftest import prose
 

@@ -31,7 +31,6 @@ SHINGLE, THRESHOLD, MARGIN, BLOCK = 3, 0.5, 0.16, 4096
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(1 << 62, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, M, dtype=np.uint64)
-_GRID = np.linspace(0.0, 1.0, 101)
 
 
 def registers(minima: np.ndarray) -> np.ndarray:
@@ -54,19 +53,20 @@ def cardinality(regs: np.ndarray) -> np.ndarray:
 def joint_estimate(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity from counts of registers that are larger and smaller in u, and the sizes."""
     u, v = n_u / (n_u + n_v), n_v / (n_u + n_v)
-    best, best_ll = np.zeros(len(more)), np.full(len(more), -np.inf)
-    log_b, step = np.log(BASE), (BASE - 1) / BASE
-    equal = M - more - less
+    equal, step, log_b = M - more - less, (BASE - 1) / BASE, np.log(BASE)
     top = np.minimum(u / v, v / u)
-    for g in _GRID:
-        j = np.minimum(g, top)
-        p = -np.log1p(-np.clip(u - v * j, 0, 1) * step) / log_b
-        q = -np.log1p(-np.clip(v - u * j, 0, 1) * step) / log_b
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ll = np.where(more > 0, more * np.log(p), 0) + np.where(less > 0, less * np.log(q), 0) + np.where(equal > 0, equal * np.log(np.maximum(1 - p - q, 1e-300)), 0)
-        up = ll > best_ll
-        best[up], best_ll[up] = j[up], ll[up]
-    return best
+    # In the limit of base 1 the maximum is the root of a quadratic; for this base it is next to it.
+    lin = equal * (u * u + v * v) + more * v * v + less * u * u
+    j = np.minimum(2 * equal * u * v / np.maximum(lin + np.sqrt(np.maximum(lin * lin - 4 * u * u * v * v * M * equal, 0)), 1e-300), top)
+    lo, hi = np.maximum(j - 0.02, 0), np.minimum(j + 0.02, top)
+    for _ in range(9):  # halve the bracket where the concave log-likelihood still rises
+        j = (lo + hi) / 2
+        x, y = np.clip(u - v * j, 1e-12, 1), np.clip(v - u * j, 1e-12, 1)
+        p, q = -np.log1p(-x * step) / log_b, -np.log1p(-y * step) / log_b
+        dp, dq = v * step / ((1 - x * step) * log_b), u * step / ((1 - y * step) * log_b)
+        rises = equal * (dp + dq) / np.maximum(1 - p - q, 1e-12) > more * dp / p + less * dq / q
+        lo, hi = np.where(rises, j, lo), np.where(rises, hi, j)
+    return (lo + hi) / 2
 
 
 def sketch_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +207,9 @@ def candidates(reps: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.floor(rank / BLOCK).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id")
     rows = rows.join(reps.select("doc_id", "regs"), "doc_id").select("key", "p", "q", "block", "doc_id", "regs")
-    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
+    # A fixed number of tasks: comparing costs far more than the few bytes that AQE would size tasks by.
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
     return rows.mapInArrow(_pairs_of_sorted, "a long, b long").distinct()
 
 
