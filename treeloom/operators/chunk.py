@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intel import comment_kind, text_of
-from .nodes import LINKS, TREE_NODE, _TYPES, links, parsed, slice_text
+from .nodes import slice_text, trees
 
 DEFINITIONS = (
     "class_declaration class_definition enum_declaration enum_item function_declaration function_definition function_item impl_item method_declaration method_definition struct_definition struct_item trait_item"
@@ -101,24 +100,18 @@ def split_code(text: bytes, starts_by_depth: dict[int, list[int]], most: int) ->
     return out
 
 
+def starts_by_depth(c: dict[str, list]) -> dict[int, list[int]]:
+    """Begins of a document's nodes by depth, the root left out."""
+    by: dict[int, list[int]] = {}
+    for depth, start in zip(c["depth"], c["start_byte"]):
+        if depth:
+            by.setdefault(depth, []).append(start)
+    return by
+
+
 def chunk_ranges(sources: DataFrame, most: int) -> DataFrame:
-    """doc_id, language, text, nodes, ranges: trees with the byte ranges of their chunks."""
-    from treeloom.plans import schemas as S
-
-    fields = [*S.TREE_FIELDS, *LINKS]
-    struct = pa.struct([(n, _TYPES[t]) for n, t in fields])
-
-    def rows(d, lang, raw, c):
-        both = {**c, **links(c)}
-        arr = pa.StructArray.from_arrays([pa.array(both[n], _TYPES[t]) for n, t in fields], [n for n, _ in fields])
-        by: dict[int, list[int]] = {}
-        for depth, start in zip(c["depth"], c["start_byte"]):
-            if depth:
-                by.setdefault(depth, []).append(start)
-        yield d, lang, raw.decode(), arr.to_pylist(), [{"start_byte": a, "end_byte": b} for a, b in split_code(raw, by, most)]
-
-    arrow = [("doc_id", pa.int64()), ("language", pa.string()), ("text", pa.string()), ("nodes", pa.list_(struct)), ("ranges", pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64())])))]
-    return parsed(sources, f"doc_id bigint, language string, text string, nodes array<{TREE_NODE}>, ranges array<struct<start_byte:bigint,end_byte:bigint>>", rows, arrow)
+    """Trees with the byte ranges of their chunks."""
+    return trees(sources, chunk_max_size=most)
 
 
 def chunk_plain(sources: DataFrame, most: int) -> DataFrame:

@@ -15,8 +15,9 @@ from .nodes import parsed
 from .squery import NODE, Compiled, Matcher, compile_query, node_struct, of_language
 
 _CAPTURE = pa.struct([("name", pa.string()), ("node", NODE), ("text", pa.string()), ("child_fields", pa.map_(pa.string(), pa.string())), ("start_byte", pa.int64())])
-_MATCH = pa.list_(pa.struct([("pattern_index", pa.int64()), ("captures", pa.list_(_CAPTURE))]))
-RESULT = f"doc_id bigint, pattern_name string, total_count bigint, matches array<struct<pattern_index:bigint,captures:array<{S.CAPTURE_RESULT}>>>"
+MATCH = pa.list_(pa.struct([("pattern_index", pa.int64()), ("captures", pa.list_(_CAPTURE))]))
+MATCHES = f"array<struct<pattern_index:bigint,captures:array<{S.CAPTURE_RESULT}>>>"
+RESULT = f"doc_id bigint, pattern_name string, total_count bigint, matches {MATCHES}"
 
 
 def compile_extraction(config: ExtractionConfig | dict) -> dict[str, tuple[ExtractionPattern, Compiled]]:
@@ -72,7 +73,7 @@ def extract_patterns(sources: DataFrame, config: ExtractionConfig | dict) -> Dat
         for name, total, matches in extract_one(compiled, c, raw):
             yield d, name, total, matches
 
-    arrow = [("doc_id", pa.int64()), ("pattern_name", pa.string()), ("total_count", pa.int64()), ("matches", _MATCH)]
+    arrow = [("doc_id", pa.int64()), ("pattern_name", pa.string()), ("total_count", pa.int64()), ("matches", MATCH)]
     return parsed(of_language(sources, resolve_alias(config.language)), RESULT, rows, arrow)
 
 

@@ -160,22 +160,33 @@ def nodes(sources: DataFrame, kinds: Collection[str] | None = None, text_kinds:
     return parsed(sources, S.NODES, rows, arrow)
 
 
-def trees(sources: DataFrame, want_sexp: bool = False) -> DataFrame:
-    """doc_id, language, text, nodes, sexp: each source with its nodes and their links as one array.
+def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | None = None, extractions: dict | None = None) -> DataFrame:
+    """doc_id, language, text, nodes, sexp, ranges, extractions: each source with its nodes and their links as one array.
 
     What is local to a document can then be asked with higher-order functions
-    and never needs a join or a shuffle.
+    and never needs a join or a shuffle. The last three columns are null unless
+    asked for: the S-expression, the byte ranges of chunks, and the results of
+    compiled patterns by name. All come from the one parse.
     """
+    from . import chunk, extract
+
     fields = [*S.TREE_FIELDS, *LINKS]
     struct = pa.struct([(n, _TYPES[t]) for n, t in fields])
 
     def rows(d, lang, raw, c):
         both = {**c, **links(c)}
         arr = pa.StructArray.from_arrays([pa.array(both[n], _TYPES[t]) for n, t in fields], [n for n, _ in fields])
-        yield d, lang, raw.decode(), arr.to_pylist(), sexp(c) if want_sexp else None
+        ranges = found = None
+        if chunk_max_size is not None:
+            ranges = [{"start_byte": x, "end_byte": y} for x, y in chunk.split_code(raw, chunk.starts_by_depth(c), chunk_max_size)]
+        if extractions is not None:
+            found = [(name, {"matches": m, "total_count": total}) for name, total, m in extract.extract_one(extractions, c, raw)]
+        yield d, lang, raw.decode(), arr.to_pylist(), sexp(c) if want_sexp else None, ranges, found
 
     arrow = [("doc_id", pa.int64()), ("language", pa.string()), ("text", pa.string()), ("nodes", pa.list_(struct)), ("sexp", pa.string())]
-    return parsed(sources, f"doc_id bigint, language string, text string, nodes array<{TREE_NODE}>, sexp string", rows, arrow)
+    arrow += [("ranges", pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64())]))), ("extractions", pa.map_(pa.string(), pa.struct([("matches", extract.MATCH), ("total_count", pa.int64())])))]
+    schema = f"doc_id bigint, language string, text string, nodes array<{TREE_NODE}>, sexp string, ranges array<struct<start_byte:bigint,end_byte:bigint>>, extractions map<string,struct<matches:{extract.MATCHES},total_count:bigint>>"
+    return parsed(sources, schema, rows, arrow)
 
 
 def parse_errors(sources: DataFrame) -> DataFrame:

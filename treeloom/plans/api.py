@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.functions.registry import get_parser, resolve_alias
-from treeloom.operators.chunk import chunk_ranges, chunks
-from treeloom.operators.extract import as_map, extract_patterns
+from treeloom.operators.chunk import chunks
+from treeloom.operators.extract import compile_extraction
 from treeloom.operators.intel import FEATURES, metrics
 from treeloom.operators.nodes import trees
 from treeloom.operators.squery import of_language
@@ -22,20 +22,19 @@ def process(sources: DataFrame, config: ProcessConfig | dict) -> DataFrame:
     """doc_id, language, metrics and the configured features of each source in the configuration's language.
 
     Features that the configuration leaves out are empty arrays. One parse
-    serves all of them; extractions, if there are any, are joined by doc_id.
+    serves all of them, extractions and chunks included.
     """
     config = ProcessConfig.of(config)
     get_parser(config.language)
     mine = of_language(sources, resolve_alias(config.language))
-    base = chunk_ranges(mine, config.chunk_max_size) if config.chunk_max_size is not None else trees(mine)
+    compiled = compile_extraction(ExtractionConfig(config.language, config.extractions)) if config.extractions else None
+    base = trees(mine, chunk_max_size=config.chunk_max_size, extractions=compiled)
     # An unconfigured feature has the type of the configured one, and no row is visited for it.
     cols = [(f() if getattr(config, name) else F.filter(f(), lambda x: F.lit(False))).alias(name) for name, f in FEATURES.items()]
     extra = [chunks(base).alias("chunks")] if config.chunk_max_size is not None else []
-    out = base.select("doc_id", "language", metrics().alias("metrics"), *cols, *extra)
-    if config.extractions:
-        found = as_map(extract_patterns(mine, ExtractionConfig(config.language, config.extractions)))
-        out = out.join(found.withColumnRenamed("results", "extractions"), "doc_id", "left")
-    return out
+    if compiled is not None:
+        extra.append(F.col("extractions"))
+    return base.select("doc_id", "language", metrics().alias("metrics"), *cols, *extra)
 
 
 def extract_intelligence(sources: DataFrame, language: str) -> DataFrame:

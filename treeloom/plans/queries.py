@@ -212,10 +212,9 @@ _BARE = r"regexp_replace(regexp_replace(html, '<(script|style)>.*?</(script|styl
 
 @query(f"SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all({_BARE}, '<([a-z0-9]+)[ >/]', 1)) AS tag FROM pages) GROUP BY tag")
 def html_tag_counts(s, d):
-    t = nodes(_pages(s, d), kinds=["start_tag", "self_closing_tag", "tag_name"], text_kinds=["tag_name"])
-    starts = t.where("kind <> 'tag_name'").select("doc_id", F.col("node_id").alias("parent_id"))
-    names = t.where("kind = 'tag_name'").join(starts, ["doc_id", "parent_id"], "left_semi")
-    return names.groupBy(F.col("text").cast("string").alias("tag")).agg(F.count("*").alias("n"))
+    starts = F.filter("nodes", lambda n: n.kind.isin("start_tag", "self_closing_tag"))
+    name = F.transform(starts, lambda n: intel.text_of(F.get("nodes", (n.node_id + 2).cast("int"))))  # behind the "<"
+    return trees(_pages(s, d)).select(F.explode(name).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<!--.*?-->', 0, 's')) AS text FROM pages")
@@ -319,9 +318,9 @@ _I = "' || n_nationkey || '"
 
 @query(_values([f"'Class' AS kind, 'K{_I}' AS name, NULL AS parent", f"'Function', 'm{_I}', 'K{_I}'", f"'Function', 'f{_I}', NULL"]))
 def py_structure(s, d):
-    t = intel.feature_table(trees(_made(s, d, "python", _PY)), "structure")
-    up = t.select("doc_id", F.col("item_id").alias("parent_item_id"), F.col("name").alias("parent"))
-    return t.join(up, ["doc_id", "parent_item_id"], "left").select("doc_id", "kind", "name", "parent")
+    t = trees(_made(s, d, "python", _PY)).select("doc_id", intel.structure().alias("s")).select("doc_id", "s", F.explode("s").alias("x"))
+    parent = F.get(F.filter("s", lambda y: y.item_id == F.col("x.parent_item_id")), F.lit(0))["name"]
+    return t.select("doc_id", "x.kind", "x.name", parent.alias("parent"))
 
 
 @query(_values(["'import os' AS source, false AS is_wildcard", f"'from a{_I} import b, c', false"]))
