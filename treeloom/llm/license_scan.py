@@ -6,6 +6,10 @@ Units are the whole text, its blocks between blank lines, and its lines; each
 is looked up entire, never searched for fragments. Everything is built-in
 expressions, so there is no shuffle and no Python; the table of known digests
 is small and fixed (``known``), and is broadcast only below ``BROADCAST_ROWS``.
+
+Every known canonical text holds one of a few stems (``STEMS``, checked when
+the table is made), and normalising never makes a stem out of anything else. A
+unit without a stem can't be equal to a known text, so it isn't normalised.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ STEPS: list[tuple[str, str]] = [
 ]
 
 
+#: Stems of canonical texts, and how they stand in a lower-case text before it is normalised.
+STEMS = {"licens": "licen", "permission": "permission", "redistribution": "redistribution", "warrant": "warrant", "mit": "mit", "apache": "apache", "gpl": "gpl", "mpl": "mpl", "cc": "cc", "bsd": "bsd", "domain": "domain"}
+
+
 def canonical_text(text: str) -> str:
     """The normal form in Python, for known texts and tests."""
     t = text.lower()
@@ -171,7 +179,19 @@ def known() -> list[tuple[str, str]]:
             if n.lower().endswith("license") or "license," in n.lower():
                 texts.setdefault(canonical_text(n), lic)
                 texts.setdefault(canonical_text("The " + n), lic)
-    return sorted((hashlib.sha256(t.encode()).hexdigest(), lic) for t, lic in texts.items() if t)
+    texts.pop("", None)
+    without = [t for t in texts if not any(x in t for x in STEMS)]
+    if without:
+        raise ValueError(f"no stem in {without[0]!r}")
+    return sorted((hashlib.sha256(t.encode()).hexdigest(), lic) for t, lic in texts.items())
+
+
+def may_be_known(c: Column) -> Column:
+    """Whether a text holds a stem of the known ones."""
+    low, out = F.lower(c), F.lit(False)
+    for raw in STEMS.values():
+        out = out | low.contains(raw)
+    return out
 
 
 def scan(docs: DataFrame, digests: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
@@ -197,8 +217,10 @@ def scan(docs: DataFrame, digests: list[tuple[str, str]] | DataFrame | None = No
         units = F.transform(parts, lambda u, i: F.struct(F.lit(name).alias("unit"), i.alias("unit_no"), u.alias("u")))
         return F.when(F.size(parts) > 1, units).otherwise(F.filter(one, lambda x: F.lit(False)))
 
-    base = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = base.select("doc_id", F.explode(F.concat(one, many(blocks, "block"), many(lines, "line"))).alias("x")).select("doc_id", "x.unit", "x.unit_no", canonical(F.col("x.u")).alias("canon"))
+    # A caller's own digests may be of any text, so then every unit is normalised.
+    maybe = may_be_known if digests is None else lambda c: F.lit(True)
+    base = docs.where("text is not null").where(maybe(F.col("text").cast("string"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    units = base.select("doc_id", F.explode(F.filter(F.concat(one, many(blocks, "block"), many(lines, "line")), lambda x: maybe(x.u))).alias("x")).select("doc_id", "x.unit", "x.unit_no", canonical(F.col("x.u")).alias("canon"))
     units = units.select("doc_id", "unit", "unit_no", F.sha2("canon", 256).alias("digest"))
     return units.join(F.broadcast(table) if small else table, "digest").select("doc_id", "unit", "unit_no", "license_id", "digest")
 
