@@ -43,8 +43,8 @@ def test_ambiguity(spark):
 
 def test_sql_functions(spark):
     detect.register_functions(spark)
-    r = spark.sql("SELECT detect_language_from_extension('RS') a, detect_language_from_path('x/y.py') b, detect_language_from_content('#!/usr/bin/env -S node') c, resolve_alias('shell') d, has_language('lisp') e, has_language('zz') f, detect_language_from_content('') g").first()
-    assert tuple(r) == ("rust", "python", "javascript", "bash", True, False, None)
+    r = spark.sql("SELECT detect_language_from_extension('RS') a, detect_language_from_path('x/y.py') b, detect_language_from_content('#!/usr/bin/env -S node') c, resolve_alias('shell') d, has_language('lisp') e, has_language('zz') f, detect_language_from_content('') g, extension_ambiguity('H').alternatives h").first()
+    assert tuple(r) == ("rust", "python", "javascript", "bash", True, False, None, ["cpp", "objc"])
     assert spark.sql("SELECT kind FROM parse_nodes('[1]', 'json') WHERE is_named ORDER BY node_id").toPandas()["kind"].tolist() == ["document", "array", "number"]
 
 

@@ -84,6 +84,8 @@ def register_functions(spark: SparkSession) -> None:
     words = r"filter(split(regexp_extract(content, r'\A#!([^\n]*)', 1), r'[ \t\x0c\r]+'), w -> w <> '')"
     rest = f"filter(slice({words}, 2, 1048576), w -> NOT startswith(w, '-'))"
     program = f"CASE WHEN element_at({words}, 1) = 'env' OR endswith(element_at({words}, 1), '/env') THEN try_element_at({rest}, 1) ELSE element_at(split(element_at({words}, 1), '/'), -1) END"
+    pairs = ", ".join(f"'{k}', named_struct('assigned', '{a}', 'alternatives', array({', '.join(repr(x) for x in o)}))" for k, (a, o) in sorted(R.AMBIGUITIES.items()))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION extension_ambiguity(ext STRING) RETURNS STRUCT<assigned: STRING, alternatives: ARRAY<STRING>> RETURN element_at(map({pairs}), {ext})")
     stripped = f"regexp_replace({program}, r'(?s)\\.?[0-9].*$', '')"
     body = f"CASE WHEN startswith(content, '#!') AND size({words}) > 0 THEN {case(R.INTERPRETERS, stripped)} END"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION detect_language_from_content(content STRING) RETURNS STRING RETURN {body}")

@@ -981,6 +981,12 @@ class _Parser:
 
     # -- Kotlin
 
+    def user_type(self, kids: list[Node], stops: tuple[str, ...]) -> None:
+        before = len(kids)
+        self.until_line(kids, stops, None)
+        if len(kids) > before:
+            kids[-1] = inner("user_type", [kids[-1]])
+
     def _kotlin(self) -> Node | list[Node] | None:
         kids: list[Node] = []
         if self.is_("package", "import"):
@@ -1024,7 +1030,7 @@ class _Parser:
                 kids.append(self.group("function_value_parameters", None, "parameter"))
             if self.is_(":"):
                 kids.append(self.leaf())
-                self.until_line(kids, ("=", "{"), None)
+                self.user_type(kids, ("=", "{"))
             if self.is_("="):
                 kids.append(inner("function_body", [self.leaf(), *self.step(lambda: self.expr((";",), False))]))
             elif self.is_("{"):
@@ -1036,7 +1042,7 @@ class _Parser:
             self.ident(sub, "simple_identifier", None)
             if self.is_(":"):
                 sub.append(self.leaf())
-                self.until_line(sub, ("=",), None)
+                self.user_type(sub, ("=",))
             kids.append(inner("variable_declaration", sub))
             if self.is_("="):
                 kids.append(self.leaf())

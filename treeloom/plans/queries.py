@@ -409,6 +409,83 @@ def py_diagnostics(s, d):
     text = F.when(F.col("doc_id") % 3 == 0, "x = f(1\n").otherwise("x = f(1)\n")
     return intel.feature_table(trees(_code(s, d, "python", text)), "diagnostics").select("doc_id", "message")
 
+_KT = "package foo.x{i}\n\nimport a.b{i}\n\nclass W{i} {\n    fun g(): String = \"hi\"\n}\n\nfun top{i}(a: Int): Int { return a }\n"
+_RB = "require 'json'\n\nclass G{i}\n  def greet(name)\n    name\n  end\n\n  class N{i}\n  end\nend\n"
+_C = '#include <stdio.h>\n\nint main{i}(void) {\n    printf("x");\n    return 0;\n}\n'
+_JS = "import fs from 'f{i}';\n// note {i}\nfunction f{i}(x) { return x; }\nclass C{i} { m{i}() { return 1; } }\nconst g{i} = (a) => a;\nexport default class D{i} {}\n"
+
+
+@query(_values([f"'Module' AS kind, 'foo.x{_I}' AS name", f"'Class', 'W{_I}'", f"'Function', NULL"]))
+def kotlin_structure(s, d):
+    return intel.feature_table(trees(_made(s, d, "kotlin", _KT)), "structure").select("doc_id", "kind", "name")
+
+
+@query(_values([f"'import a.b{_I}' AS source"]))
+def kotlin_imports(s, d):
+    return intel.feature_table(trees(_made(s, d, "kotlin", _KT)), "imports").select("doc_id", "source")
+
+
+@query(_values([f"'Class' AS kind, 'G{_I}' AS name", f"'Class', 'N{_I}'"]))
+def ruby_structure(s, d):
+    return intel.feature_table(trees(_made(s, d, "ruby", _RB)), "structure").select("doc_id", "kind", "name")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'Function' AS kind, NULL::VARCHAR AS name, 6::BIGINT AS total_lines, 1::BIGINT AS comment_lines FROM nation")
+def c_structure(s, d):
+    t = trees(_made(s, d, "c", _C)).select("doc_id", F.explode(intel.structure()).alias("x"), intel.metrics().alias("m"))
+    return t.select("doc_id", "x.kind", "x.name", "m.total_lines", "m.comment_lines")
+
+
+@query(_values([f"'Function' AS kind, 'f{_I}' AS name", f"'Class', 'C{_I}'", f"'Method', 'm{_I}'", "'Function', 'a'", f"'Class', 'D{_I}'"]))
+def js_structure(s, d):
+    return intel.feature_table(trees(_made(s, d, "javascript", _JS)), "structure").select("doc_id", "kind", "name")
+
+
+@query(_values([f"'// note {_I}' AS text, 'Line' AS kind, 'function_declaration' AS associated_node"]))
+def js_comments(s, d):
+    return intel.feature_table(trees(_made(s, d, "javascript", _JS)), "comments").select("doc_id", "text", "kind", "associated_node")
+
+
+@query(_values([f"'E{_I}' AS name, 'Enum' AS kind", f"'new{_I}', 'Function'", f"'inner{_I}', 'Function'"]))
+def rust_symbols(s, d):
+    return intel.feature_table(trees(_made(s, d, "rust", _RS)), "symbols").select("doc_id", "name", "kind")
+
+
+@query(_values(["'use std::io::*;' AS source, true AS is_wildcard"]))
+def rust_imports(s, d):
+    return intel.feature_table(trees(_made(s, d, "rust", _RS)), "imports").select("doc_id", "source", "is_wildcard")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 2::BIGINT AS functions, 1::BIGINT AS classes, 3::BIGINT AS items FROM nation")
+def process_extractions(s, d):
+    patterns = {"f": {"query": "(function_definition) @f"}, "c": {"query": "(class_definition) @c", "max_results": 0}}
+    p = api.process(_made(s, d, "python", _PY), {"language": "python", "extractions": patterns})
+    n = lambda k: F.element_at("extractions", k)["total_count"]
+    return p.select("doc_id", n("f").alias("functions"), n("c").alias("classes"), F.size("structure").cast("long").alias("items"))
+
+
+@query("SELECT event_id AS doc_id, 3 * len(json_keys(props))::BIGINT + 2 AS named FROM events")
+def json_udtf(s, d):
+    D.register_functions(s)
+    _events(s, d).createOrReplaceTempView("treeloom_events")
+    return s.sql("SELECT e.doc_id, count_if(n.is_named) + count_if(n.kind = 'never') AS named FROM treeloom_events e, LATERAL parse_nodes(e.text, 'json') n WHERE n.kind <> 'string_content' GROUP BY e.doc_id")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{k}', {len(q)}::BIGINT)" for (a, k), q in sorted(R.BUNDLED.items())) + ") v(language, kind, chars)")
+def bundled_queries(s, d):
+    return R.bundled_queries(s).select("language", "kind", F.length("query").cast("long").alias("chars"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(R.EXTENSIONS.items())) + ") v(extension, language)")
+def extension_table(s, d):
+    return R.extensions(s)
+
+
+@query("SELECT page_id, depth, count(*)::BIGINT AS n FROM (SELECT page_id, unnest([0, 1]) AS depth FROM pages) GROUP BY ALL")
+def html_top_depths(s, d):
+    n = nodes(_pages(s, d), kinds=["document", "doctype"]).where("is_named")  # the token in the declaration has its kind
+    return n.groupBy(F.col("doc_id").alias("page_id"), F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
+
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Metrics of every page's syntax tree with the numbers of its most telling elements."""
