@@ -67,7 +67,7 @@ def walk_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, classes: tuple
                 old = keys.get(name)
                 keys[name] = sym + np.uint64(j) if old is None else (old * np.uint64(0xD6E8FEB86659FD93)) ^ sym
             pos += ((sym * _STEP_BITS[w, j]) >> np.uint64(63)).astype(np.int64)
-    return {name: tv.mix(k + np.uint64(name[0] * 1009 + name[1] * 101 + name[2])) for name, k in keys.items()}
+    return keys
 
 
 def item_index(items: list[tuple[int, str]]) -> dict:
@@ -128,6 +128,26 @@ class Matcher:
         for name, (k, i, sh) in shared["index"].items():
             uniq, first, count = np.unique(k, return_index=True, return_counts=True)
             self.keys[name] = (tv.IntTable(uniq), first, count, i, sh)
+        self.size = np.diff(shared["off"])
+        self.most = (MAX_EDITS * self.size).astype(np.int64)
+        of = np.repeat(np.arange(len(self.size), dtype=np.uint64), self.size)
+        self.members = tv.IntTable(np.unique(self._member(shared["words"], of)))
+
+    @staticmethod
+    def _member(word: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return tv.mix(word ^ (item * np.uint64(0x9E3779B97F4A7C15)))
+
+    def _likely(self, cand: np.ndarray, h: np.ndarray, tok: np.ndarray) -> np.ndarray:
+        """Candidates (row, item, at) around whose place enough words are the item's: each edit can miss one only."""
+        row, item, at = cand.T
+        lo = np.maximum(tok[row], at - self.most[item])
+        hi = np.maximum(lo, np.minimum(tok[row + 1], at + self.size[item] + 2 * self.most[item]))
+        n = hi - lo
+        off = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=off[1:])
+        pos = np.repeat(lo - off[:-1], n) + np.arange(off[-1])
+        there = self.members.find(self._member(h[pos], np.repeat(item, n).astype(np.uint64))) >= 0
+        return cand[tv.sum_by(there.astype(np.int64), off) >= self.size[item] - self.most[item]]
 
     def match(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, end word) of the best stretch for each item that a text contains."""
@@ -157,7 +177,11 @@ class Matcher:
         if not found:
             return []
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for r, i, at in np.unique(np.concatenate(found), axis=0):
+        row_, item_, at_ = np.concatenate(found).T
+        n_items, span = len(self.size), len(h) + STRIDE + 1
+        packed = np.unique((row_ * n_items + item_) * span + at_ + STRIDE)
+        cand = np.stack([packed // (n_items * span), packed // span % n_items, packed % span - STRIDE], 1)
+        for r, i, at in self._likely(cand, h, tok):
             words = ix["words"][ix["off"][i] : ix["off"][i + 1]]
             most = int(MAX_EDITS * len(words))
             lo, hi = max(int(tok[r]), int(at) - most), min(int(tok[r + 1]), int(at) + len(words) + 2 * most)
