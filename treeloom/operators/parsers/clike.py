@@ -137,7 +137,9 @@ class _Parser:
         return self.braces(_BLOCK.get(self.lang, "block"), self.statement, field)
 
     def group(self, kind: str, field: str | None = None, item: str = "") -> Node:
-        """Bracketed, comma-separated expressions (or parameters)."""
+        """Bracketed, comma-separated expressions (or parameters); missing where no bracket opens."""
+        if self.text not in _CLOSE:
+            return Node(kind, self.here(), self.here(), field=field, missing=True)
         close = _CLOSE[self.text]
         kids = [self.leaf()]
         while self.kind != "eof" and not self.is_(close):
