@@ -23,6 +23,8 @@ from .shared import text_batches
 
 ORDER = 3
 UNKNOWN = "und"
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def _grams(data: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
@@ -43,12 +45,9 @@ def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
     Only doc_id and lang are read to choose them; whole texts are then taken.
     """
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    # Each task keeps its own least ones first, so that only those are moved.
-    key = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id"))
-    least = ids.withColumn("__k", key).groupBy("lang", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_set("__k")), 1, per_language).alias("k"))
-    rank = Window.partitionBy("lang").orderBy("k")
-    chosen = least.select("lang", F.explode("k").alias("k")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language)
-    rows = chosen.select("lang", F.col("k.doc_id").alias("doc_id")).distinct().collect()
+    # The limit on row_number is applied within each task before anything is moved.
+    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = ids.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= per_language).select("lang", F.col("doc_id").cast("long").alias("doc_id")).distinct().collect()
     session = docs.sparkSession
     picked = session.createDataFrame([(r.doc_id, r.lang) for r in rows], "doc_id long, lang string")
     return docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
@@ -126,10 +125,38 @@ class Scorer:
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
+        cost = self.costs(data, off)
+        return np.stack([tv.sum_by(cost[:, j].astype(np.float64), off) for j in range(cost.shape[1])], 1) if cost.shape[1] else np.zeros((len(off) - 1, 0))
+
+    def decide(self, data: np.ndarray, off: np.ndarray, max_bits: float, slack_bits: float) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text under each language, and whether the best one accepts it.
+
+        The test leaves out words with digits: keys, hashes and numbers tell
+        nothing about the language that they stand in.
+        """
+        n = len(off) - 1
+        if not self.m["langs"] or not len(data):
+            return np.zeros((n, len(self.m["langs"]))), np.zeros(n, bool)
+        cost = self.costs(data, off)
+        bits = np.stack([tv.sum_by(cost[:, j].astype(np.float64), off) for j in range(cost.shape[1])], 1)
+        start, end, _ = tv.words(data, off, tv.NONSPACE)
+        digits = np.zeros(len(data) + 1, np.int32)
+        np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
+        coded = digits[end] > digits[start]
+        step = np.zeros(len(data) + 1, np.int8)
+        step[start[coded]] = 1
+        step[end[coded]] -= 1
+        on = np.cumsum(step[:-1], dtype=np.int8) == 0
+        own = cost[np.arange(len(data)), np.repeat(bits.argmin(1), np.diff(off))]
+        low, size = tv.sum_by(np.where(on, own, 0).astype(np.float64), off), tv.sum_by(on.astype(np.int64), off)
+        letters = tv.sum_by((on & _LETTER[data]).astype(np.int64), off)
+        return bits, (letters > 0) & (low <= max_bits * size + slack_bits)
+
+    def costs(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Bits of each byte under each language."""
         m, n_lang = self.m, len(self.m["langs"])
-        out = np.zeros((len(off) - 1, n_lang))
         if not len(data):
-            return out
+            return np.zeros((0, n_lang), np.float32)
         full = _grams(data, off, ORDER + 1)
         cost = np.zeros((len(data), n_lang), np.float32)
         left, k = np.arange(len(data)), ORDER
@@ -149,18 +176,17 @@ class Scorer:
             seen = ctx >= 0
             cost[left[seen]] += m["escapes"][k][ctx[seen]]
             k -= 1
-        for j in range(n_lang):
-            out[:, j] = tv.sum_by(cost[:, j].astype(np.float64), off)
-        return out
+        return cost
 
 
 def identify(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_bits: float = 64.0) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang_id, bits_per_byte, margin_bits.
 
     lang_id is the language of the shortest code. It is ``und`` where no model
-    compresses the text: more than ``max_bits`` a byte beyond ``slack_bits`` for
-    the begin (uniform bytes cost 8), where the text has no letter, is empty or null, and where
-    the table has no labelled text at all. Ties go to the first language by
+    compresses the text less its words with digits: more than ``max_bits`` a
+    byte beyond ``slack_bits`` for the begin (uniform bytes cost 8); where what
+    is left has no letter, or the text is empty or null; and where the table has
+    no labelled text at all. Ties go to the first language by
     name. margin_bits is the second shortest code less the shortest (null with
     fewer than two languages). Repeated rows each get their row; other columns
     of ``docs`` are ignored, whatever their names; a null doc_id stays null.
@@ -170,23 +196,19 @@ def identify(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_bits: fl
     def run(batches):
         scorer = Scorer(shared.value)
         langs = shared.value["langs"]
-        letter = np.zeros(256, bool)
-        letter[65:91] = letter[97:123] = letter[128:] = True
         for b in tv.batches(batches):
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             for lo, hi in tv.slices(texts):
                 data, off = tv.buffer(texts.slice(lo, hi - lo))
                 size = np.diff(off)
-                letters = tv.sum_by(letter[data].astype(np.int64), off)
+                bits, accepted = scorer.decide(data, off, max_bits, slack_bits)
                 if langs:
-                    bits = scorer.bits(data, off)
                     best = bits.argmin(1)
                     low = bits[np.arange(len(best)), best]
                     margin = np.partition(bits, 1, 1)[:, 1] - low if len(langs) > 1 else np.full(len(best), np.nan)
                 else:
                     best, low, margin = np.zeros(hi - lo, int), np.zeros(hi - lo), np.full(hi - lo, np.nan)
-                bad = (letters == 0) | (low > max_bits * size + slack_bits) | (not langs)
-                name = [UNKNOWN if x else langs[i] for x, i in zip(bad, best)]
+                name = [langs[i] if x else UNKNOWN for x, i in zip(accepted, best)]
                 per = np.where(size > 0, low / np.maximum(size, 1), np.nan)
                 yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(name, pa.string()), pa.array(per, from_pandas=True), pa.array(margin, from_pandas=True)], ["doc_id", "lang_id", "bits_per_byte", "margin_bits"])
 
@@ -203,17 +225,11 @@ def keep_identified(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_b
 
     def run(batches):
         scorer = Scorer(shared.value)
-        langs = shared.value["langs"]
-        letter = np.zeros(256, bool)
-        letter[65:91] = letter[97:123] = letter[128:] = True
         for b in tv.batches(batches):
             texts = tv.column(b, at)
             for lo, hi in tv.slices(texts):
-                if not langs:
-                    continue
                 data, off = tv.buffer(texts.slice(lo, hi - lo))
-                low = scorer.bits(data, off).min(1)
-                keep = (tv.sum_by(letter[data].astype(np.int64), off) > 0) & (low <= max_bits * np.diff(off) + slack_bits)
+                _, keep = scorer.decide(data, off, max_bits, slack_bits)
                 if keep.any():
                     yield b.slice(lo, hi - lo).filter(pa.array(keep))
 
