@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 #: Unicode White_Space, spelled out because \s means less to the regex engine.
 SPACE = "[\\x{9}-\\x{d}\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-COMMENT_STARTS = ("//", "#", "/*", "*")
 
 
 def lines(text: Column | str) -> Column:
     """Lines without their ends (LF or CRLF); a final line end adds no line, an empty text has none."""
     c = F.col(text) if isinstance(text, str) else text
-    parts = F.split(F.regexp_replace(c, r"\n\z", ""), "\n")
-    ended = F.transform(parts, lambda x, i: F.when((i < F.size(parts) - 1) | c.endswith("\n"), F.regexp_replace(x, r"\r\z", "")).otherwise(x))
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(ended)
-
-
-def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    body = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), r"\n\z", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
 
 def line_metrics(text: Column | str) -> Column:
@@ -29,18 +23,19 @@ def line_metrics(text: Column | str) -> Column:
     the language.
     """
     c = F.col(text) if isinstance(text, str) else text
-    trimmed = F.transform(lines(c), trim)
-    total = F.size(trimmed).cast("long")
-    blank = F.size(F.filter(trimmed, lambda x: x == "")).cast("long")
 
     def is_comment(x: Column) -> Column:
-        out = x.startswith(COMMENT_STARTS[0])
-        for s in COMMENT_STARTS[1:]:
-            out = out | x.startswith(s)
-        return out
-
-    comment = F.size(F.filter(trimmed, is_comment)).cast("long")
-    return F.struct(total.alias("total_lines"), (total - blank - comment).alias("code_lines"), comment.alias("comment_lines"), blank.alias("blank_lines"), F.octet_length(c).cast("long").alias("total_bytes"))
+        return x.rlike(rf"\A{SPACE}*(?://|#|/\*|\*)")
+
+    # One pass over the lines counts all three kinds.
+    zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("total", "comment", "blank")))
+    step = lambda a, x: F.struct(
+        (a.total + 1).alias("total"), (a.comment + is_comment(x).cast("long")).alias("comment"), (a.blank + x.rlike(rf"\A{SPACE}*\z").cast("long")).alias("blank"),
+    )
+    metrics = lambda a: F.struct(
+        a.total.alias("total_lines"), (a.total - a.blank - a.comment).alias("code_lines"), a.comment.alias("comment_lines"), a.blank.alias("blank_lines"), F.octet_length(c).cast("long").alias("total_bytes"),
+    )
+    return F.aggregate(lines(c), zero, step, metrics)
 
 
 def with_line_metrics(df: DataFrame, text: str = "text") -> DataFrame:

@@ -40,11 +40,17 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("html").alias("language"))
+    return _spread(s, s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("html").alias("language")))
+
+
+def _spread(s: SparkSession, df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table has fewer files than cores: parsing costs far more than moving the text."""
+    cores = s.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"), F.lit("json").alias("language"))
+    return _spread(s, s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"), F.lit("json").alias("language")))
 
 
 def _ids(s: SparkSession, d: str) -> DataFrame:
