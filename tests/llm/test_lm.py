@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from treeloom.llm import lm_score as L
 from treeloom.llm import textvec as tv
@@ -119,3 +120,28 @@ def test_odd_rows(odd, empty):
     uniform = L.score(odd, L.train(empty)).where("n_bytes > 0").collect()
     assert all(abs(r.bits_per_byte - 8) < 1e-4 for r in uniform)
     assert L.score(empty, model).count() == 0
+
+
+def test_model_grows_with_the_input(spark, docs):
+    """Every n-gram that occurs is kept at any size: what is rare in the whole isn't lost."""
+    few = docs.limit(20).persist()
+    many = few.union(spark.createDataFrame([("the same words again " * 100_000,)], "text string").select(F.lit(1).alias("doc_id"), "text", *(F.lit(None).alias(c) for c in few.columns[2:])))
+    a, b = L.kept_grams(few)[0], L.kept_grams(many)[0]
+    assert all(np.isin(x, y).all() for x, y in zip(a, b)) and len(b[-1]) > len(a[-1])
+
+
+def test_shards_are_the_automaton(spark, docs, odd, monkeypatch):
+    rows = docs.limit(60).select("doc_id", "text").union(odd.select("doc_id", "text")).persist()
+    half = docs.limit(30)
+    whole = L.score(rows, L.train(half)).collect()
+    monkeypatch.setattr(L, "SHARD_GRAMS", 5000)
+    model = L.train(half)
+    assert isinstance(model, L.Shards) and model.n > 2
+
+    def key(r):
+        return str(r.doc_id), r.n_bytes, r.log10_prob
+
+    got = L.score(rows, model).collect()
+    assert len(got) == len(whole)
+    for x, y in zip(sorted(whole, key=key), sorted(got, key=key)):
+        assert (x.doc_id, x.n_bytes) == (y.doc_id, y.n_bytes) and y.log10_prob == pytest.approx(x.log10_prob, rel=1e-4, abs=1e-6) and (x.bits_per_byte is None) == (y.bits_per_byte is None)

@@ -1,10 +1,13 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is an n-gram model over bytes of order ``ORDER``, smoothed by
-Witten-Bell backoff. Counts cover every byte of every document. An n-gram is
-kept where its share of all positions is at least ``MIN_SHARE``; so the model
-has at most ``1 / MIN_SHARE`` n-grams of each order, whatever the corpus, and
-what is broadcast is bounded. The mass of what isn't kept goes to backoff.
+Witten-Bell backoff. Counts cover every byte of every document, and every
+n-gram that occurs is in the model, so the model grows with the corpus. Where
+it has more than ``SHARD_GRAMS`` n-grams of the highest order it is cut into
+shards by the last two symbols of the context: an n-gram and all its suffixes
+of three symbols or more are in the same shard, shorter ones are in each. What
+a shard says of its windows is what the whole automaton says, texts are read
+once a shard, and only one shard is broadcast at a time.
 
 Each kept context is a state. An arc for each kept continuation carries its
 log-probability and leads to the longest suffix that is a state; a failure arc
@@ -17,6 +20,8 @@ would have had, so the sums are those of one traversal.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +30,9 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .shared import materialize, text_batches
 
-ORDER, MIN_SHARE = 5, 1e-6
+ORDER, SHARD_GRAMS = 5, 2_000_000
 STRETCH = 512
+_CONTEXT = (1 << 18) - 1
 _U8 = np.uint64(8)
 
 
@@ -63,28 +69,43 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kept_grams(docs: DataFrame, min_share: float = MIN_SHARE) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """Kept n-grams of each order with their counts, and the number of positions."""
-    top = materialize(count_grams(docs), "grams")
+def kept_grams(docs: DataFrame, min_share: float = 0.0) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """N-grams of each order with their counts, and the number of positions; all that occur, or those of a share."""
+    return _kept(materialize(count_grams(docs), "grams"), min_share)
+
+
+def _shorter(level: DataFrame, k: int) -> DataFrame:
+    """N-grams of k symbols: a shorter n-gram occurs wherever a longer one ends with it."""
+    return level.groupBy((F.col("gram").bitwiseAND(F.lit((1 << (9 * k)) - 1))).alias("gram")).agg(F.sum("n").alias("n"))
+
+
+def _sorted(level: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = level.toPandas()
+    order = np.argsort(rows["gram"].to_numpy(), kind="stable")
+    return rows["gram"].to_numpy()[order].astype(np.uint64), rows["n"].to_numpy()[order].astype(np.float64)
+
+
+def _kept(top: DataFrame, min_share: float) -> tuple[list[np.ndarray], list[np.ndarray], int]:
     total = top.agg(F.sum("n")).first()[0] or 0
     least = max(1.0, min_share * total)
     keys, counts, level = [], [], top
     for k in range(ORDER, 0, -1):
-        if k < ORDER:  # a shorter n-gram occurs wherever a longer one ends with it
-            level = level.groupBy((F.col("gram").bitwiseAND(F.lit((1 << (9 * k)) - 1))).alias("gram")).agg(F.sum("n").alias("n"))
-        rows = level.where(F.col("n") >= least).toPandas()
-        order = np.argsort(rows["gram"].to_numpy(), kind="stable")
-        keys.insert(0, rows["gram"].to_numpy()[order].astype(np.uint64))
-        counts.insert(0, rows["n"].to_numpy()[order].astype(np.float64))
+        if k < ORDER:
+            level = _shorter(level, k)
+        rows = _sorted(level.where(F.col("n") >= least))
+        keys.insert(0, rows[0])
+        counts.insert(0, rows[1])
     return keys, counts, int(total)
 
 
-def automaton(keys: list[np.ndarray], counts: list[np.ndarray]) -> dict:
+def automaton(keys: list[np.ndarray], counts: list[np.ndarray], contexts: list[tuple[np.ndarray, np.ndarray]] | None = None) -> dict:
     """States, arcs with log10 probabilities and next states, failure states and backoff weights.
 
     A kept n-gram's context is kept too, for it occurs as often or more; but a
-    context is a state only if a continuation of it is kept.
+    context is a state only if a continuation of it is kept. ``contexts`` has
+    the counts of contexts by length where ``keys`` is a shard without them.
     """
+    contexts = contexts or list(zip(keys, counts))
     names = [np.zeros(1, np.uint64)]  # state ids by order of context: (context, its first id)
     first = [0]
     for k in range(1, ORDER):
@@ -113,9 +134,10 @@ def automaton(keys: list[np.ndarray], counts: list[np.ndarray]) -> dict:
         at = np.searchsorted(names[k], ctx)
         # Occurrences of the context: the kept count of it, or all positions at order 0.
         if k:
-            pos = np.minimum(np.searchsorted(keys[k - 1], names[k]), len(keys[k - 1]) - 1)
+            known, times = (np.append(x, x.dtype.type(0)) for x in contexts[k - 1])
+            pos = np.minimum(np.searchsorted(known[:-1], names[k]), len(known) - 1)
             # A context of padding alone is no n-gram: it occurs as often as its kept continuations.
-            whole = np.where(keys[k - 1][pos] == names[k], counts[k - 1][pos], 0)
+            whole = np.where(known[pos] == names[k], times[pos], 0)
             whole = np.maximum(whole, np.bincount(at, n, len(names[k])))
         else:
             whole = np.array([max(1.0, n.sum())])
@@ -135,14 +157,66 @@ def automaton(keys: list[np.ndarray], counts: list[np.ndarray]) -> dict:
         arc_p.append(np.log10(p).astype(np.float32))
         arc_to.append(state(grams, k + 1) if k + 1 < ORDER else state(grams & np.uint64((1 << (9 * (ORDER - 1))) - 1), ORDER - 1))
     begin = int(state(np.zeros(1, np.uint64), ORDER - 1)[0])
-    return {"begin": begin, "arcs": np.concatenate(arc_key), "p": np.concatenate(arc_p), "to": np.concatenate(arc_to).astype(np.int32), "fail": fail, "back": back}
+    return {"begin": begin, "names": names, "first": first, "arcs": np.concatenate(arc_key), "p": np.concatenate(arc_p), "to": np.concatenate(arc_to).astype(np.int32), "fail": fail, "back": back}
+
+
+def built(levels: list[DataFrame], contexts: list[DataFrame] = ()) -> dict:
+    """The automaton of n-grams by order, made by one task; ``contexts`` are counts of contexts of 3 symbols and more."""
+    rows, tables, cut = None, len(levels) + len(contexts), bool(contexts)
+    for k, x in enumerate([*levels, *contexts]):
+        x = x.select(F.lit(k).alias("k"), "gram", "n")
+        rows = x if rows is None else rows.union(x)
+
+    def run(batches):
+        got = [[tv.column(b, i) for i in range(3)] for b in tv.batches(batches)]
+        k, gram, n = (np.asarray(pa.concat_arrays([x[i] for x in got])) if got else np.zeros(0, np.int64) for i in range(3))
+        del got
+        own = []
+        for j in range(tables):
+            on = np.flatnonzero(k == j)
+            on = on[np.argsort(gram[on], kind="stable")]
+            own.append((gram[on].astype(np.uint64), n[on].astype(np.float64)))
+        a = automaton([x for x, _ in own[:ORDER]], [x for _, x in own[:ORDER]], [*own[:2], *own[ORDER:]] if cut else None)
+        if not cut:
+            del a["names"]
+        raw = pickle.dumps(a, 5)
+        for lo in range(0, len(raw), 1 << 22):
+            yield pa.record_batch([pa.array([lo]), pa.array([raw[lo : lo + (1 << 22)]], pa.binary())], ["at", "raw"])
+
+    # The file keeps what is made away from the driver until it is wanted.
+    table = materialize(rows.repartition(1).mapInArrow(run, "at long, raw binary"), "model")
+    return pickle.loads(b"".join(r.raw for r in sorted(table.toLocalIterator(), key=lambda r: r["at"])))
+
+
+class Shards:
+    """A model in parts, each fetched when its turn comes; ``n`` of them."""
+
+    def __init__(self, top: DataFrame, n: int):
+        self.n, self.levels = n, [top]
+        for k in range(ORDER - 1, 0, -1):
+            self.levels.insert(0, materialize(_shorter(self.levels[0], k), f"grams{k}"))
+
+    def part(self, i: int) -> dict:
+        """The automaton of the windows whose context ends with a pair of symbols of shard ``i``."""
+
+        def of(level: DataFrame, shift: int) -> DataFrame:
+            pair = F.shiftright("gram", shift).bitwiseAND(F.lit(_CONTEXT))
+            return level.where(F.shiftright((pair * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % self.n == i)
+
+        return built([x if k < 2 else of(x, 9) for k, x in enumerate(self.levels)], [of(x, 0) for x in self.levels[2:-1]])
+
+
+def shard_of(grams: np.ndarray, n: int) -> np.ndarray:
+    pair = grams >> np.uint64(9) & np.uint64(_CONTEXT)
+    return ((pair * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)) % np.uint64(n)
 
 
 class Traverser:
     """Runs texts through the automaton, all stretches of a slice abreast."""
 
-    def __init__(self, a: dict):
+    def __init__(self, a: dict, sharded: bool = False):
         self.a, self.table = a, tv.IntTable(a["arcs"])
+        self.contexts = [tv.IntTable(c) for c in a["names"]] if sharded else []
         self.root = np.log10(1 / 256).astype(np.float32)
 
     def step(self, state: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +242,15 @@ class Traverser:
             miss, at = miss[~ok], at[~ok]
         return to, logp
 
+    def windows(self, grams: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of the last symbols of windows, each from the state of its context's longest suffix that is one."""
+        state, left = np.zeros(len(grams), np.int32), np.arange(len(grams))
+        for j in range(ORDER - 1, 0, -1):
+            pos = self.contexts[j].find(grams[left] >> np.uint64(9) & np.uint64((1 << (9 * j)) - 1))
+            state[left[pos >= 0]] = self.a["first"][j] + pos[pos >= 0]
+            left = left[pos < 0]
+        return self.step(state, grams & np.uint64(511))[1]
+
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Sum of log10 probabilities of each text."""
         size = np.diff(off)
@@ -196,7 +279,7 @@ class Traverser:
         return out
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
+def score(docs: DataFrame, model: dict | Shards) -> DataFrame:
     """doc_id, n_bytes, log10_prob, bits_per_byte of every row of ``docs``.
 
     A null or empty text has 0 bytes, log-probability 0 and a null
@@ -204,6 +287,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     Other columns are ignored, whatever their names. A model of an empty corpus
     gives uniform bytes.
     """
+    if isinstance(model, Shards):
+        return _score_by_shards(docs, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -219,10 +304,50 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, log10_prob double, bits_per_byte double")
 
 
-def train(docs: DataFrame, min_share: float = MIN_SHARE) -> dict:
+def _score_by_shards(docs: DataFrame, model: Shards) -> DataFrame:
+    """The same from a model in shards: sums of a text's windows by shard meet under the text's digest."""
+    spark, n = docs.sparkSession, model.n
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.sha2("text", 256))
+    parts = None
+    for i in range(n):
+        shared = spark.sparkContext.broadcast(model.part(i))
+
+        def run(batches, shared=shared, i=i):
+            tr = Traverser(shared.value, True)
+            for b in tv.batches(batches):
+                digests, texts = tv.column(b, 0), tv.column(b, 1)
+                for lo, hi in tv.slices(texts):
+                    data, off = tv.buffer(texts.slice(lo, hi - lo))
+                    g = _windows(data, off)
+                    on = np.flatnonzero(shard_of(g, n) == i)
+                    uniq, back = np.unique(g[on], return_inverse=True)
+                    logp = np.zeros(len(g))
+                    logp[on] = tr.windows(uniq)[back] if len(on) else 0
+                    yield pa.record_batch([digests.slice(lo, hi - lo), pa.array(tv.sum_by(logp, off))], ["digest", "logp"])
+
+        part = materialize(rows.where("text <> ''").select("digest", "text").mapInArrow(run, "digest string, logp double").groupBy("digest").agg(F.first("logp").alias("logp")), "part")
+        parts = part if parts is None else parts.union(part)
+        shared.destroy()
+    whole = parts.groupBy("digest").agg(F.sum("logp").alias("logp"))
+    size, logp = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.coalesce("logp", F.lit(0.0))
+    out = rows.select("doc_id", "digest", size.alias("n_bytes")).join(whole, "digest", "left")
+    bits = F.when(F.col("n_bytes") > 0, -logp * F.lit(float(np.log2(10))) / F.col("n_bytes"))
+    return out.select("doc_id", "n_bytes", logp.alias("log10_prob"), bits.alias("bits_per_byte"))
+
+
+def train(docs: DataFrame, min_share: float = 0.0) -> dict | Shards:
     """The automaton of all documents; rows with a null or empty text add nothing, repeated rows count each time."""
-    keys, counts, _ = kept_grams(docs, min_share)
-    return automaton(keys, counts)
+    top = materialize(count_grams(docs), "grams")
+    n = -(-top.count() // SHARD_GRAMS)
+    if n > 1 and not min_share:
+        return Shards(top, n)
+    if min_share:
+        keys, counts, _ = _kept(top, min_share)
+        return automaton(keys, counts)
+    levels = [top]
+    for k in range(ORDER - 1, 0, -1):
+        levels.insert(0, _shorter(levels[0], k))
+    return built(levels)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
