@@ -54,3 +54,17 @@ def test_odd_rows(spark, odd, empty):
     assert S.scan(df).count() == 3
     r = S.redact(df).where("doc_id = 1").first()
     assert HEX not in r.text and r.n_chars == len(r.text) and S.redact(df).columns == df.columns
+
+
+@pytest.mark.parametrize("text,literal", [
+    ('password = "sunshine"', "sunshine"), ("token: 'Sunshine'", "Sunshine"), ('pwd = "letmein"', "letmein"), ('encryption_key = "correcthorsebatterystaple"', "correcthorsebatterystaple"), ('{"credential": "monkey"}', "monkey"),
+    ("user = bob\npassword = letmein\n", "letmein"), ("password: letmein", "letmein"), ("export DB_PASSWORD=letmein\n", "letmein"), ('p = "sunshine"\npassword = p', "sunshine"),
+])
+def test_letters_alone_under_a_sensitive_name(text, literal):
+    assert literal in [x[1] for x in S.find_secrets(text)]
+    assert literal not in S.redact_text(text)
+
+
+@pytest.mark.parametrize("text", ['password = "password"', 'token = "bearer"', 'secret = "a few plain words here"', "def f(value):\n    password = value\n", "connect(password=value)", "password: string\n", "token: boolean\n", "Password: it was lost", 'session = "sunshine"'])
+def test_letters_that_are_no_secret(text):
+    assert S.find_secrets(text) == [] and S.redact_text(text) == text

@@ -26,6 +26,8 @@ from . import textvec as tv
 from .shared import text_batches
 
 THRESHOLD = 0.5
+#: A literal of letters alone under a name of at least this sensitivity counts so much: the name decides.
+STRONG, PLAIN = 0.9, 0.56
 REDACTED = "<SECRET>"
 
 TOKEN = re.compile(
@@ -50,6 +52,8 @@ SENSITIVE = {
 KEY_OF = {"api", "access", "private", "secret", "auth", "encryption", "signing", "master", "account", "storage", "service", "ssh", "deploy", "client", "app", "consumer", "license", "webhook"}
 TAME = {"id", "name", "type", "count", "length", "len", "size", "limit", "max", "min", "url", "uri", "path", "file", "field", "label", "expires", "expiry", "ttl", "policy", "hint", "header", "prefix", "index", "public", "example", "placeholder", "format", "pattern", "regex"}
 PLACEHOLDER = re.compile(r"(?i)^(?:<.*>|\$?\{.*\}|%.*%|\*+|x+|\.+|(?:your|my|the|some|an?)[-_ ].*|change[-_ ]?me.*|example.*|placeholder.*|dummy.*|todo.*|none|null|nil|true|false|undefined|redacted|secret|password|test(?:ing)?|foo|bar|string|str|bytes|int)$")
+#: Bare words after a sensitive name that are types or remarks.
+REMARKS = {"boolean", "bool", "number", "object", "text", "char", "varchar", "bytea", "optional", "required", "enabled", "disabled", "hidden", "any", "unknown", "default", "empty", "missing", "invalid", "self", "this", "void", "pass", "return", "input", "option"}
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\..*|-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*)$")
 
 
@@ -85,6 +89,13 @@ def randomness(value: str) -> float:
     return min(1.0, 0.3 + entropy / 8 + 0.05 * kinds + min(n, 32) / 160)
 
 
+def alone(text: str, begin: int, end: int) -> bool:
+    """Whether a bare value is all of its line but a name, and stands nowhere else in the text, as a variable would."""
+    lo, hi = text.rfind("\n", 0, begin) + 1, text.find("\n", end)
+    value = text[begin:end]
+    return not text[end : hi if hi >= 0 else len(text)].strip() and re.fullmatch(r"\s*(?:export\s+|set\s+|-\s+)?[\w.-]+\s*[=:]\s*", text[lo:begin]) is not None and value.lower() not in REMARKS and len(re.findall(rf"\b{re.escape(value)}\b", text)) == 1
+
+
 def unquote(raw: str) -> str:
     raw = raw.lstrip("fFrRbBuU")
     q = 3 if raw[:3] in ('"""', "'''") else 1
@@ -153,8 +164,8 @@ def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
                 if not ok and j < n and not opened and kind == "name" and op in ("=", ":") and toks[j][0] != "nl":
                     m = BARE.match(text, toks[j][2])
                     spaced = toks[j][2] > toks[i + 1][3] if i + 1 < n else False
-                    # A bare value is configuration style: NAME=value, or a value with a digit.
-                    if m and (not spaced or any(ch.isdigit() for ch in m[0])) and len(m[0]) >= 4:
+                    # A bare value is configuration style: NAME=value, a value with a digit, or a line of a sensitive name and a word.
+                    if m and (not spaced or any(ch.isdigit() for ch in m[0]) or m[0].isalpha() and sensitivity(name) >= STRONG and alone(text, m.start(), m.end())) and len(m[0]) >= 4:
                         v = m[0].rstrip(".:")
                         parts, begin, end, ok = [v], m.start(), m.start() + len(v), True
                         while j < n and toks[j][2] < m.end():
@@ -177,7 +188,10 @@ def find_secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[str, str
     for name, value, b, e, via in assignments(text):
         score = sensitivity(name)
         if score:
-            score *= randomness(value)
+            worth = randomness(value)
+            if score >= STRONG and worth and value.isalpha() and value.lower() not in SENSITIVE and (via or text[b] in "\"'`" or alone(text, b, e)):
+                worth = max(worth, PLAIN)
+            score *= worth
         if KNOWN.match(value):
             score = max(score, 0.9)
         if score >= threshold:
