@@ -88,3 +88,28 @@ def test_odd_rows(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(decontam, "SHARD_WORDS", 5)
     again = sorted((r.doc_id or -1, r.item_id, r.edits) for r in decontam.contaminated(odd, items).where("item_id = 1").collect())
     assert again == got
+
+
+def test_recall_of_crowded_edits(spark):
+    """All the edits that are allowed within 25 words at the head, in the middle or at the tail of items of any length."""
+    r = random.Random(8)
+    lengths, places = (16, 27, 45, 55, 59, 100, 300, 1000), ("head", "middle", "tail")
+    items, rows = [], []
+    for n in lengths:
+        for place in places:
+            for _ in range(8):
+                k = len(items)
+                it = [f"w{r.randrange(5000)}" for _ in range(n)]
+                zone = min(n, max(25, int(decontam.MAX_EDITS * n)))
+                lo = {"head": 0, "middle": (n - zone) // 2, "tail": n - zone}[place]
+                e = list(it)
+                for p in r.sample(range(lo, lo + zone), int(decontam.MAX_EDITS * n)):
+                    e[p] = f"zz{r.randrange(999)}"
+                pad = [[f"w{r.randrange(5000)}" for _ in range(r.randrange(40))] for _ in range(2)]
+                items.append((k, " ".join(it)))
+                rows.append((k, " ".join([*pad[0], *e, *pad[1]])))
+    found = {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, n in enumerate(lengths):
+        for j, place in enumerate(places):
+            at = range((3 * i + j) * 8, (3 * i + j) * 8 + 8)
+            assert sum((k, k) in found for k in at) >= (7 if n >= 45 else 6), (n, place)

@@ -4,8 +4,9 @@ Items and the item-sized windows of documents are sequences of word hashes.
 The CGK random walk copies a sequence's current word to the output and moves on
 only where a random bit of (step, word) says so, which maps edit distance to
 Hamming distance. Walks start at every ``STRIDE``-th word of a document and at
-the first ``STRIDE`` words of an item, so some pair of walks is aligned for
-every place an item can take. Each of ``WALKS`` independent walks is sampled
+each word of an item that has a stretch of words before its end, so pairs of
+walks are aligned all along the item for every place it can take, and edits
+that crowd at one place of it leave the others. Each of ``WALKS`` independent walks is sampled
 ``SAMPLES`` times at ``BITS`` random steps; equal samples make a candidate,
 and candidates are verified by the exact edit distance of the item to the best
 matching stretch of the document.
@@ -26,7 +27,7 @@ from .shared import text_batches
 
 STRIDE, WALKS, SAMPLES, BITS = 4, 2, 12, 4
 MAX_EDITS = 0.2
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 200_000
 #: Items of w words are sampled within the first 1.25 of the largest class up to w steps.
 CLASSES = (1, 2, 4, 8, 16, 28, 40)
 MAX_STEPS = 50
@@ -48,6 +49,11 @@ def class_of(n_words: int) -> int:
     return max(c for c in CLASSES if c <= max(1, n_words))
 
 
+def stretch_of(n_words: int) -> int:
+    """The class of the stretches that are keyed at later words of an item; 0 where it's too short to have any."""
+    return 16 if n_words >= 24 else 8 if n_words >= 12 else 0
+
+
 def walk_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, classes: tuple[int, ...]) -> dict[tuple[int, int, int], np.ndarray]:
     """Keys (class, walk, sample) -> one for each start; beyond ``stop`` a walk reads padding."""
     steps = max(max(int(s.max()) for w in SAMPLED[c] for s in w) for c in classes) + 1
@@ -85,6 +91,13 @@ def item_index(items: list[tuple[int, str]]) -> dict:
             if len(on):
                 for name, keys in walk_keys(h, tok[:-1][on] + shift, tok[1:][on], (c,)).items():
                     rows.setdefault(name, []).append((keys, on, np.full(len(on), shift)))
+    for c in sorted({stretch_of(int(k)) for k in n} - {0}):
+        of = np.array([i for i in range(len(n)) if stretch_of(int(n[i])) == c])
+        many = n[of] - c - STRIDE + 1
+        on = np.repeat(of, many)
+        shift = np.arange(len(on)) - np.repeat(np.cumsum(many) - many, many) + STRIDE
+        for name, keys in walk_keys(h, tok[:-1][on] + shift, tok[1:][on], (c,)).items():
+            rows.setdefault(name, []).append((keys, on, shift))
     index = {}
     for name, parts in rows.items():
         k, i, sh = (np.concatenate(x) for x in zip(*parts))
@@ -132,22 +145,33 @@ class Matcher:
         self.most = (MAX_EDITS * self.size).astype(np.int64)
         of = np.repeat(np.arange(len(self.size), dtype=np.uint64), self.size)
         self.members = tv.IntTable(np.unique(self._member(shared["words"], of)))
+        same = np.flatnonzero(of[1:] == of[:-1])
+        self.pairs = tv.IntTable(np.unique(self._member(self._pair(shared["words"])[same], of[same])))
 
     @staticmethod
     def _member(word: np.ndarray, item: np.ndarray) -> np.ndarray:
         return tv.mix(word ^ (item * np.uint64(0x9E3779B97F4A7C15)))
 
+    @staticmethod
+    def _pair(words: np.ndarray) -> np.ndarray:
+        """Of each word with the next one."""
+        return tv.mix(words[:-1]) + words[1:]
+
     def _likely(self, cand: np.ndarray, h: np.ndarray, tok: np.ndarray) -> np.ndarray:
-        """Candidates (row, item, at) around whose place enough words are the item's: each edit can miss one only."""
+        """Candidates (row, item, at) around whose place enough words and pairs of words are the item's: each edit can miss one word and two pairs only."""
+        cand = self._enough(cand, h, tok, self.members, self.size - self.most)
+        return self._enough(cand, self._pair(h), tok, self.pairs, self.size - 1 - 2 * self.most)
+
+    def _enough(self, cand: np.ndarray, h: np.ndarray, tok: np.ndarray, members: tv.IntTable, least: np.ndarray) -> np.ndarray:
         row, item, at = cand.T
         lo = np.maximum(tok[row], at - self.most[item])
-        hi = np.maximum(lo, np.minimum(tok[row + 1], at + self.size[item] + 2 * self.most[item]))
+        hi = np.maximum(lo, np.minimum(np.minimum(tok[row + 1], len(h)), at + self.size[item] + 2 * self.most[item]))
         n = hi - lo
         off = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=off[1:])
         pos = np.repeat(lo - off[:-1], n) + np.arange(off[-1])
-        there = self.members.find(self._member(h[pos], np.repeat(item, n).astype(np.uint64))) >= 0
-        return cand[tv.sum_by(there.astype(np.int64), off) >= self.size[item] - self.most[item]]
+        there = members.find(self._member(h[pos], np.repeat(item, n).astype(np.uint64))) >= 0
+        return cand[tv.sum_by(there.astype(np.int64), off) >= least[item]]
 
     def match(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, end word) of the best stretch for each item that a text contains."""
@@ -178,9 +202,10 @@ class Matcher:
             return []
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         row_, item_, at_ = np.concatenate(found).T
-        n_items, span = len(self.size), len(h) + STRIDE + 1
-        packed = np.unique((row_ * n_items + item_) * span + at_ + STRIDE)
-        cand = np.stack([packed // (n_items * span), packed // span % n_items, packed % span - STRIDE], 1)
+        ahead = int(self.size.max()) + STRIDE
+        n_items, span = len(self.size), len(h) + ahead + 1
+        packed = np.unique((row_ * n_items + item_) * span + at_ + ahead)
+        cand = np.stack([packed // (n_items * span), packed // span % n_items, packed % span - ahead], 1)
         for r, i, at in self._likely(cand, h, tok):
             words = ix["words"][ix["off"][i] : ix["off"][i + 1]]
             most = int(MAX_EDITS * len(words))
