@@ -53,3 +53,13 @@ def test_odd_rows(spark, odd, empty):
     assert sorted((str(r.doc_id), r.unit, r.unit_no) for r in L.scan(df).collect()) == [("1", "line", 100000)] * 2 + [("None", "line", 100000)]
     own = spark.createDataFrame([(__import__("hashlib").sha256(b"my terms").hexdigest(), "Mine"), (__import__("hashlib").sha256(b"my terms").hexdigest(), "Mine")], "digest string, license_id string")
     assert [r.license_id for r in L.scan(spark.createDataFrame([(1, "My   TERMS!")], "doc_id long, text string"), own).collect()] == ["Mine"]
+
+
+FILES = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_full_texts(spark):
+    texts = [(i, open(f"/usr/share/common-licenses/{f}").read()) for i, f in enumerate(FILES)]
+    got = {r.doc_id: r.license_id for r in L.scan(spark.createDataFrame(texts, "doc_id long, text string")).where("unit = 'text'").collect()}
+    assert [got.get(i) for i, _ in texts] == list(FILES.values())

@@ -138,6 +138,16 @@ FULL: dict[str, list[str]] = {
     "LGPL-3.0-or-later": [_gnu(_LGPL, 3)],
     "AGPL-3.0-or-later": [_gnu(_AGPL, 3)],
 }
+#: Digests of the canonical forms of full texts that are too long to stand here; Apache-2.0 with its appendix and without.
+FULL_DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": ["6a1be63a0cc15f72bd166512e80224c4dcf6752f41b298e09dae3f14050b34ce", "7cb8df43b3c2800e3c1adeb1bc8c43c666bd30db3509e66524f340aabdf42145"],
+    "GPL-2.0": ["cb154ab9b0a51a9ac10a614acd9760a876cbf72c8a6a8dc759580405b37042dd"],
+    "GPL-3.0": ["71cd201f1b5f85e6465eb2456974a5bcdf1cb77422c3ef6a35eeb51b3bd424b3"],
+    "LGPL-2.1": ["21c8ff76180df5685ec117875d2f9a4349c9e0f25dd4f19ca68f644e9b9bae6c"],
+    "LGPL-3.0": ["f9971a40b39b55b23a81e443f25bde5afd88dcddc5a97e859f3e234c6409bb34"],
+    "MPL-2.0": ["fb147075ff9773931d4af935baf522ee20075611ff7b60c8b861873f23e1839c"],
+    "CC0-1.0": ["82c14200990032ffb6fcd1a421750e47ceb0eae4dac7c35ebc1cc250a01811f7"],
+}
 #: Names by which one-line notices call a licence.
 NAMES: dict[str, list[str]] = {
     "MIT": ["MIT License", "MIT"],
@@ -183,7 +193,7 @@ def known() -> list[tuple[str, str]]:
     without = [t for t in texts if not any(x in t for x in STEMS)]
     if without:
         raise ValueError(f"no stem in {without[0]!r}")
-    return sorted((hashlib.sha256(t.encode()).hexdigest(), lic) for t, lic in texts.items())
+    return sorted([*((hashlib.sha256(t.encode()).hexdigest(), lic) for t, lic in texts.items()), *((d, lic) for lic, ds in FULL_DIGESTS.items() for d in ds)])
 
 
 def may_be_known(c: Column) -> Column:
