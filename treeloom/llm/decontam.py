@@ -3,12 +3,15 @@
 Items and the item-sized windows of documents are sequences of word hashes.
 The CGK random walk copies a sequence's current word to the output and moves on
 only where a random bit of (step, word) says so, which maps edit distance to
-Hamming distance. Walks start at every ``STRIDE``-th word of a document and at
-each word of an item that has a stretch of words before its end, so pairs of
-walks are aligned all along the item for every place it can take, and edits
-that crowd at one place of it leave the others. Each of ``WALKS`` independent walks is sampled
-``SAMPLES`` times at ``BITS`` random steps; equal samples make a candidate,
-and candidates are verified by the exact edit distance of the item to the best
+Hamming distance. A walk that has lost step with another seldom finds it again
+where a fifth of the words are edited, so walks are begun anew along the whole
+window: an item's embedding is the walks that begin at each of its words, a
+document's those that begin at every ``stride``-th word, and an item-sized
+window has all the walks that begin in it, up to its end. A repetition samples
+``bits`` steps of a walk, at least ``GAP`` apart so that they see different
+words; equal samples make a candidate. Repetitions are added until edited items
+are found with ``TARGET_RECALL`` in a simulation (``repetitions``), and
+candidates are verified by the exact edit distance of the item to the best
 matching stretch of the document.
 
 Work is linear in the text: documents are never shuffled, the items' keys are
@@ -17,6 +20,9 @@ broadcast in shards of ``SHARD_WORDS`` words, and more items mean more passes.
 
 from __future__ import annotations
 
+import random
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,55 +31,100 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .shared import text_batches
 
-STRIDE, WALKS, SAMPLES, BITS = 4, 2, 12, 4
-MAX_EDITS = 0.2
-SHARD_WORDS = 200_000
-#: Items of w words are sampled within the first 1.25 of the largest class up to w steps.
-CLASSES = (1, 2, 4, 8, 16, 28, 40)
-MAX_STEPS = 50
+MAX_EDITS, TARGET_RECALL = 0.2, 0.97
+SHARD_WORDS = 500_000
+PER_WALK, GAP, MAX_WALKS = 2, 3, 24
+#: By kind of item: its least words, stride of the document's walks, steps of a walk, sampled steps.
+KINDS = {"long": (12, 4, 12, 4), "short": (5, 1, 7, 2), "exact": (1, 1, 0, 0)}
 _rng = np.random.default_rng(987654321)
-_STEP_BITS = _rng.integers(0, 1 << 63, (WALKS, MAX_STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _samples(cls: int) -> list[list[np.ndarray]]:
-    """Sampled steps by walk and sample, for items of a class; short items are sampled in their few first steps."""
-    steps = max(1, min(MAX_STEPS, int(cls * 1.25)))
-    rng = np.random.default_rng(cls)
-    return [[np.sort(rng.choice(steps, min(BITS, steps), replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
-
-
-SAMPLED = {c: _samples(c) for c in CLASSES}
-
-
-def class_of(n_words: int) -> int:
-    return max(c for c in CLASSES if c <= max(1, n_words))
-
-
-def stretch_of(n_words: int) -> int:
-    """The class of the stretches that are keyed at later words of an item; 0 where it's too short to have any."""
-    return 16 if n_words >= 24 else 8 if n_words >= 12 else 0
+_STEP_BITS = _rng.integers(0, 1 << 63, (MAX_WALKS, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def kind_of(n_words: int) -> str:
+    """Items of fewer than 5 words allow no edit and are looked up as they are."""
+    return next(k for k, x in KINDS.items() if n_words >= x[0])
+
+
+@lru_cache
+def samples(kind: str, walk: int) -> tuple[tuple[int, ...], ...]:
+    """The steps of each repetition of a walk."""
+    _, _, steps, bits = KINDS[kind]
+    rng, out = np.random.default_rng([walk, steps, bits]), []
+    while len(out) < PER_WALK:
+        s = np.sort(rng.choice(steps, bits, replace=False))
+        if (np.diff(s) >= GAP).all():
+            out.append(tuple(int(x) for x in s))
+    return tuple(out)
+
+
+def walk_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, kind: str, walk: int) -> list[np.ndarray]:
+    """A key of each start for each repetition of a walk; beyond ``stop`` it reads padding."""
+    reps = samples(kind, walk)
+    padded, pad, pos = np.append(h, np.uint64(0)), len(h), start.copy()
+    keys = [np.full(len(start), (walk * PER_WALK + k + 1) * len(kind), np.uint64) for k in range(len(reps))]
+    for j in range(max(max(s) for s in reps) + 1):
+        sym = padded[np.where(pos < stop, pos, pad)]
+        for k, s in enumerate(reps):
+            if j in s:
+                keys[k] = (keys[k] ^ sym) * np.uint64(0xD6E8FEB86659FD93)
+                keys[k] ^= keys[k] >> np.uint64(29)
+        pos += ((sym * _STEP_BITS[walk, j]) >> np.uint64(63)).astype(np.int64)
+    return keys
 
 
-def walk_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, classes: tuple[int, ...]) -> dict[tuple[int, int, int], np.ndarray]:
-    """Keys (class, walk, sample) -> one for each start; beyond ``stop`` a walk reads padding."""
-    steps = max(max(int(s.max()) for w in SAMPLED[c] for s in w) for c in classes) + 1
-    keys: dict[tuple[int, int, int], np.ndarray] = {}
-    padded = np.append(h, np.uint64(0))
-    pad = len(h)
-    for w in range(WALKS):
-        use: list[list[tuple[int, int, int]]] = [[] for _ in range(steps)]
-        for c in classes:
-            for k, s in enumerate(SAMPLED[c][w]):
-                for j in s:
-                    use[j].append((c, w, k))
-        pos = start.copy()
-        for j in range(steps):
-            sym = padded[np.where(pos < stop, pos, pad)]
-            for name in use[j]:
-                old = keys.get(name)
-                keys[name] = sym + np.uint64(j) if old is None else (old * np.uint64(0xD6E8FEB86659FD93)) ^ sym
-            pos += ((sym * _STEP_BITS[w, j]) >> np.uint64(63)).astype(np.int64)
-    return keys
+def exact_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """A key of the ``n`` words from each start."""
+    padded, key = np.append(h, np.zeros(n, np.uint64)), np.full(len(start), n, np.uint64)
+    for j in range(n):
+        key = (key ^ padded[np.where(start + j < stop, start + j, len(h))]) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def edited(words: list[int], r: random.Random, spread: bool) -> list[int]:
+    """``words`` with all the edits that are allowed, spread evenly or anywhere."""
+    out, n = list(words), int(MAX_EDITS * len(words))
+    for k in range(n):
+        p = min(len(out) - 1, k * len(out) // n + r.randrange(2)) if spread else r.randrange(len(out))
+        op = r.random()
+        if op < 0.4:
+            out[p] = r.getrandbits(63)
+        elif op < 0.7:
+            out.insert(p, r.getrandbits(63))
+        else:
+            del out[p]
+    return out
+
+
+@lru_cache
+def repetitions(kind: str, target: float = TARGET_RECALL, trials: int = 400) -> int:
+    """Walks that find ``target`` of simulated items with all the edits that are allowed.
+
+    Items are those of the kind's least words that allow most edits for their
+    length, which are the hardest: longer ones have more walks that may meet.
+    """
+    if kind == "exact":
+        return 0
+    n = KINDS[kind][0] if kind == "short" else 15
+    stride, r = KINDS[kind][1], random.Random(17)
+    rows, docs = [], []
+    for t in range(trials):
+        rows.append([r.getrandbits(63) for _ in range(n)])
+        docs.append([r.getrandbits(63) for _ in range(8 + t % 4)] + edited(rows[-1], r, t % 2 == 0) + [r.getrandbits(63) for _ in range(20)])
+    sides = []
+    for x, by in ((rows, 1), (docs, stride)):
+        off = np.concatenate([[0], np.cumsum([len(y) for y in x])])
+        start = np.concatenate([np.arange(a, b, by) for a, b in zip(off[:-1], off[1:])])
+        of = np.searchsorted(off, start, "right") - 1
+        sides.append((np.concatenate([np.array(y, np.uint64) for y in x]), start, off[1:][of], of))
+    found = np.zeros(trials, bool)
+    for w in range(MAX_WALKS):
+        a, b = ([tv.mix(k ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) for k in walk_keys(h, start, stop, kind, w)] for h, start, stop, of in sides)
+        for x, y in zip(a, b):
+            found[sides[1][3][np.isin(y, x)]] = True
+        if found.mean() >= target:
+            return w + 1
+    raise ValueError(f"no {MAX_WALKS} walks reach a recall of {target}")
 
 
 def item_index(items: list[tuple[int, str]]) -> dict:
@@ -82,28 +133,24 @@ def item_index(items: list[tuple[int, str]]) -> dict:
     data, off = tv.buffer(texts, lower=True)
     s, e, tok = tv.words(data, off)
     h = tv.span_hash(data, s, e)
-    rows: dict[tuple[int, int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     n = np.diff(tok)
-    for c in sorted({class_of(int(k)) for k in n if k}):
-        of = np.array([i for i in range(len(n)) if n[i] and class_of(int(n[i])) == c])
-        for shift in range(STRIDE):
-            on = of[n[of] > shift]
-            if len(on):
-                for name, keys in walk_keys(h, tok[:-1][on] + shift, tok[1:][on], (c,)).items():
-                    rows.setdefault(name, []).append((keys, on, np.full(len(on), shift)))
-    for c in sorted({stretch_of(int(k)) for k in n} - {0}):
-        of = np.array([i for i in range(len(n)) if stretch_of(int(n[i])) == c])
-        many = n[of] - c - STRIDE + 1
-        on = np.repeat(of, many)
-        shift = np.arange(len(on)) - np.repeat(np.cumsum(many) - many, many) + STRIDE
-        for name, keys in walk_keys(h, tok[:-1][on] + shift, tok[1:][on], (c,)).items():
-            rows.setdefault(name, []).append((keys, on, shift))
-    index = {}
-    for name, parts in rows.items():
-        k, i, sh = (np.concatenate(x) for x in zip(*parts))
+    kinds = np.array([kind_of(int(k)) if k else "" for k in n])
+    tables, plan = {}, []
+    for kind in (k for k in KINDS if (kinds == k).any()):
+        of = np.flatnonzero(kinds == kind)
+        if kind == "exact":
+            for size in np.unique(n[of]):
+                on = of[n[of] == size]
+                tables[kind, int(size)] = (exact_keys(h, tok[:-1][on], tok[1:][on], int(size)), on, np.zeros(len(on), np.int64))
+            continue
+        on = np.repeat(of, n[of])
+        shift = np.arange(len(on)) - np.repeat(np.cumsum(n[of]) - n[of], n[of])
+        got = [k for w in range(repetitions(kind)) for k in walk_keys(h, tok[:-1][on] + shift, tok[1:][on], kind, w)]
+        tables[kind, repetitions(kind)] = (np.concatenate(got), np.tile(on, len(got)), np.tile(shift, len(got)))
+    for name, (k, i, sh) in tables.items():
         order = np.argsort(k, kind="stable")
-        index[name] = (k[order], i[order].astype(np.int32), sh[order].astype(np.int32))
-    return {"ids": [i for i, _ in items], "words": h, "off": tok, "index": index, "classes": tuple(sorted({name[0] for name in index}))}
+        plan.append((name, k[order], i[order].astype(np.int32), sh[order].astype(np.int32)))
+    return {"ids": [i for i, _ in items], "words": h, "off": tok, "tables": plan}
 
 
 def edit_fit(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -136,11 +183,14 @@ class Matcher:
     """Finds an index's items in the texts of a slice."""
 
     def __init__(self, shared: dict):
-        self.ix = shared
-        self.keys = {}
-        for name, (k, i, sh) in shared["index"].items():
+        self.ix, self.tables = shared, []
+        for name, k, i, sh in shared["tables"]:
             uniq, first, count = np.unique(k, return_index=True, return_counts=True)
-            self.keys[name] = (tv.IntTable(uniq), first, count, i, sh)
+            # Most keys of a document are in no item; a map of one byte for 32 slots a key tells so without a probe.
+            bits = max(10, int(32 * len(uniq)).bit_length())
+            there = np.zeros(1 << bits, bool)
+            there[(uniq >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.tables.append((name, np.uint64(64 - bits), there, tv.IntTable(uniq), first, count, i, sh))
         self.size = np.diff(shared["off"])
         self.most = (MAX_EDITS * self.size).astype(np.int64)
         of = np.repeat(np.arange(len(self.size), dtype=np.uint64), self.size)
@@ -163,62 +213,81 @@ class Matcher:
         return self._enough(cand, self._pair(h), tok, self.pairs, self.size - 1 - 2 * self.most)
 
     def _enough(self, cand: np.ndarray, h: np.ndarray, tok: np.ndarray, members: tv.IntTable, least: np.ndarray) -> np.ndarray:
-        row, item, at = cand.T
+        kept = []
+        for k in range(0, len(cand), 1 << 15):
+            part = cand[k : k + (1 << 15)]
+            row, item, at = part.T
+            lo, hi = self._around(row, item, at, tok)
+            n = np.maximum(np.minimum(hi, len(h)) - lo, 0)
+            off = np.zeros(len(n) + 1, np.int64)
+            np.cumsum(n, out=off[1:])
+            pos = np.repeat(lo - off[:-1], n) + np.arange(off[-1])
+            there = members.find(self._member(h[pos], np.repeat(item, n).astype(np.uint64))) >= 0
+            kept.append(part[tv.sum_by(there.astype(np.int64), off) >= least[item]])
+        return np.concatenate(kept) if kept else cand
+
+    def _around(self, row: np.ndarray, item: np.ndarray, at: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where an item with all its edits can lie if its begin falls on ``at`` by the place of some word of it."""
         lo = np.maximum(tok[row], at - self.most[item])
-        hi = np.maximum(lo, np.minimum(np.minimum(tok[row + 1], len(h)), at + self.size[item] + 2 * self.most[item]))
-        n = hi - lo
-        off = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=off[1:])
-        pos = np.repeat(lo - off[:-1], n) + np.arange(off[-1])
-        there = members.find(self._member(h[pos], np.repeat(item, n).astype(np.uint64))) >= 0
-        return cand[tv.sum_by(there.astype(np.int64), off) >= least[item]]
+        return lo, np.maximum(lo, np.minimum(tok[row + 1], at + self.size[item] + 2 * self.most[item]))
+
+    def _hits(self, h: np.ndarray, tok: np.ndarray):
+        """(row, item, at) of equal keys, by key."""
+        n = np.diff(tok)
+        begun: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for (kind, reps), shift, there, table, first, count, item, off in self.tables:
+            stride = KINDS[kind][1]
+            if stride not in begun:
+                per = -(-n // stride)
+                row = np.repeat(np.arange(len(n)), per)
+                base = np.concatenate([[0], np.cumsum(per)])
+                begun[stride] = row, tok[:-1][row] + stride * (np.arange(base[-1]) - base[:-1][row])
+            row, start = begun[stride]
+            stop = tok[1:][row]
+            keys = (k for w in range(reps) for k in walk_keys(h, start, stop, kind, w)) if kind != "exact" else [exact_keys(h, start, stop, reps)]
+            for key in keys:
+                hit = np.flatnonzero(there[(key >> shift).astype(np.int64)])
+                pos = table.find(key[hit])
+                hit, pos = hit[pos >= 0], pos[pos >= 0]
+                if len(hit):
+                    times = count[pos]
+                    at = np.repeat(first[pos], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    w = np.repeat(hit, times)
+                    yield row[w], item[at].astype(np.int64), start[w] - off[at]
 
     def match(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, end word) of the best stretch for each item that a text contains."""
         ix = self.ix
         data, off = tv.buffer(texts, lower=True)
         s, e, tok = tv.words(data, off)
-        if not len(s) or not ix["classes"]:
+        if not len(s) or not self.tables:
             return []
         h = tv.span_hash(data, s, e)
-        n = np.diff(tok)
-        per = -(-n // STRIDE)
-        row = np.repeat(np.arange(len(n)), per)
-        base = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(per, out=base[1:])
-        start = tok[:-1][row] + STRIDE * (np.arange(base[-1]) - base[:-1][row])
-        found = []
-        for name, keys in walk_keys(h, start, tok[1:][row], ix["classes"]).items():
-            table, first, count, item, shift = self.keys[name]
-            pos = table.find(keys)
-            hit = np.flatnonzero(pos >= 0)
-            if len(hit):
-                p = pos[hit]
-                times = count[p]
-                at = np.repeat(first[p], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                w = np.repeat(hit, times)
-                found.append(np.stack([row[w], item[at], start[w] - shift[at]], 1))
+        ahead = int(self.size.max())
+        n_items, span = len(self.size), len(h) + ahead + 1
+        found = [np.unique((row * n_items + item) * span + at + ahead) for row, item, at in self._hits(h, tok)]
         if not found:
             return []
-        out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        row_, item_, at_ = np.concatenate(found).T
-        ahead = int(self.size.max()) + STRIDE
-        n_items, span = len(self.size), len(h) + ahead + 1
-        packed = np.unique((row_ * n_items + item_) * span + at_ + ahead)
+        packed = np.unique(np.concatenate(found))
         cand = np.stack([packed // (n_items * span), packed // span % n_items, packed % span - ahead], 1)
-        for r, i, at in self._likely(cand, h, tok):
-            words = ix["words"][ix["off"][i] : ix["off"][i + 1]]
-            most = int(MAX_EDITS * len(words))
-            lo, hi = max(int(tok[r]), int(at) - most), min(int(tok[r + 1]), int(at) + len(words) + 2 * most)
-            best = out.get((int(r), int(i)))
+        cand = self._likely(cand, h, tok)
+        row, item, at = cand.T
+        lo, hi = self._around(row, item, at, tok)
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        # Candidates of a row and item whose surroundings meet are one stretch to look through; they are in order of place.
+        k = 0
+        while k < len(cand):
+            r, i, a, b = int(row[k]), int(item[k]), int(lo[k]), int(hi[k])
+            k += 1
+            while k < len(cand) and row[k] == r and item[k] == i and lo[k] <= b:
+                b = max(b, int(hi[k]))
+                k += 1
+            best = out.get((r, i))
             if best and best[0] == 0:
                 continue
-            # Every word of the item that isn't there at all costs an edit.
-            if len(words) - np.isin(words, h[lo:hi]).sum() > most:
-                continue
-            cost, b, en = edit_fit(words, h[lo:hi])
-            if cost <= most and (best is None or cost < best[0]):
-                out[int(r), int(i)] = (cost, lo + b - int(tok[r]), lo + en - int(tok[r]))
+            cost, x, y = edit_fit(ix["words"][ix["off"][i] : ix["off"][i + 1]], h[a:b])
+            if cost <= self.most[i] and (best is None or cost < best[0]):
+                out[r, i] = (cost, a + x - int(tok[r]), a + y - int(tok[r]))
         return [(r, i, *v) for (r, i), v in sorted(out.items())]
 
 
@@ -244,7 +313,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``docs`` and item, of the stretch with the fewest edits (ties: the first in
     the text). Null or empty texts contain nothing, items without a word are in
     no document, a null doc_id stays null, repeated rows repeat their results,
-    repeated items count once. Other columns are ignored, whatever their names.
+    repeated items count once (one id with two texts is two items of that id).
+    Texts and items of any length are read entire; an empty table of documents
+    or of items gives no row. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -270,7 +341,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that contain no item by the rule of ``contaminated``, with all columns; the test runs beside the row."""
+    """Rows of ``docs`` that contain no item by the rule of ``contaminated``, with all columns; the test runs beside the row.
+
+    Null and empty texts stay, as do rows with a null doc_id that hold no item;
+    repeated rows share their fate; without items all rows stay; a column may
+    have any name.
+    """
     spark = docs.sparkSession
     at = docs.columns.index("text")
     for index in shards(items):
