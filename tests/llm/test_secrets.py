@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from treeloom.llm import secretscan as S
@@ -68,3 +71,85 @@ def test_letters_alone_under_a_sensitive_name(text, literal):
 @pytest.mark.parametrize("text", ['password = "password"', 'token = "bearer"', 'secret = "a few plain words here"', "def f(value):\n    password = value\n", "connect(password=value)", "password: string\n", "token: boolean\n", "Password: it was lost", 'session = "sunshine"'])
 def test_letters_that_are_no_secret(text):
     assert S.find_secrets(text) == [] and S.redact_text(text) == text
+
+
+def test_constants_that_double():
+    """Sixty doublings, templates of templates and long chains take linear time and a bounded literal; the secret is reported."""
+    began = time.time()
+    texts = [
+        'a = "12345678"\n' + "a += a\n" * 60 + "password = a\n",
+        'a = "x1y2z3w4"\n' + 'a = f"{a}{a}"\n' * 60 + "password = a\n",
+        'a = "x1y2z3w4"\n' + "a = a + a\n" * 60 + "password = a + a + a\n",
+        'a = "Zx9"\n' + 'a += "q7"\n' * 20_000 + "password = a\n",
+        "password = " + " + ".join(['"Zx9k"'] * 20_000),
+    ]
+    for t in texts:
+        found = [x for x in S.find_secrets(t) if x[0] == "password"]
+        assert len(found) == 1 and len(found[0][1]) <= max(len(t), 3 * S.RESOLVED)
+        assert not [x for x in S.find_secrets(S.redact_text(t)) if x[0] == "password"]
+    assert S.find_secrets(texts[3])[-1][1].endswith("…")
+    assert S.find_secrets(texts[4])[0][1] == "Zx9k" * 20_000  # literals as written are never cut
+    assert time.time() - began < 20
+
+
+def test_many_bare_values_and_secrets_take_linear_time():
+    began = time.time()
+    bare = "".join(f"user = bob\npassword = word{chr(97 + k % 26)}\n" for k in range(20_000))
+    S.find_secrets(bare)
+    many = "".join(f'token{k} = "{k:05d}{HEX[5:]}"\n' for k in range(20_000))
+    assert len(S.find_secrets(many)) == 20_000 and not S.find_secrets(S.redact_text(many))
+    assert time.time() - began < 30
+
+
+def test_quoted_keys_of_any_length():
+    name = "x" * 300 + "_password"
+    assert S.find_secrets(f'{{"{name}": "{HEX}"}}')[0][:2] == (name, HEX)
+
+
+def programme(r):
+    """A made-up source in one of five syntaxes, and what it assigns, worked out while it is written."""
+    kind, lines, env, want = r.choice(["python", "js", "env", "json", "yaml"]), [], {}, []
+    value = lambda: "".join(r.choice("abcdefghijkmnpqrstuvwxyz0123456789ABCDEF") for _ in range(r.randrange(6, 30)))
+    names = [f"{r.choice(['alpha', 'db', 'api', 'main', 'user'])}_{r.choice(['token', 'name', 'password', 'secret', 'note'])}{k}" for k in range(r.randrange(2, 9))]
+    for name in names:
+        v, old = value(), r.choice(list(env) or [None])
+        if kind in ("python", "js"):
+            q, form = r.choice("\"'"), r.randrange(6)
+            lead, end = ("", "") if kind == "python" else (r.choice(["const ", "let ", "var "]), ";")
+            if r.random() < 0.3:
+                lines.append(r.choice(["# a remark", "foo(bar)", "if x == y:", "return z"]) if kind == "python" else r.choice(["foo(bar);", "if (x == y) {", "}"]))
+            if form == 0 and old:
+                lines.append(f"{lead}{name} = {old}{end}")
+                v = env[old]
+            elif form == 1 and old:
+                lines.append(f"{lead}{name} = {old} + {q}{v}{q}{end}")
+                v = env[old] + v
+            elif form == 2:
+                lines.append(f"{lead}{name} = {q}{v}{q} + {q}{v}{q}{end}")
+                v = v + v
+            elif form == 3 and kind == "js":
+                lines.append(f"{lead}{name}: string = {q}{v}{q}{end}")
+            elif form == 4 and old:
+                lines.append(f'{lead}{name} = f"{v}{{{old}}}"' if kind == "python" else f"{lead}{name} = `{v}${{{old}}}`{end}")
+                v = v + env[old]
+            else:
+                lines.append(f"{lead}{name} = {q}{v}{q}{end}")
+        else:
+            v = "k9" + v
+            lines.append({"env": f"{r.choice(['', 'export '])}{name}={v}", "yaml": f"{'  ' * r.randrange(3)}{name}: {v}", "json": f'  "{name}": "{v}",'}[kind])
+        if kind in ("python", "js"):
+            env[name] = v
+        want.append((name, v))
+    return "\n".join(["{", *lines, "}"] if kind == "json" else lines) + "\n", want
+
+
+def test_lexer_against_programmes_of_known_meaning():
+    """What is assigned is known because the sources were written from it; nothing of the lexer is used to work it out."""
+    r = random.Random(11)
+    for _ in range(3000):
+        text, want = programme(r)
+        assert [(x.name, x.value) for x in S.assignments(text)] == want, text
+        hot = [(n, v) for n, v in want if S.sensitivity(n) * S.randomness(v) >= S.THRESHOLD]
+        assert {(x[0], x[1]) for x in S.find_secrets(text)} >= set(hot)
+        left = S.redact_text(text)
+        assert not S.find_secrets(left) and not any(v in left for _, v in hot)
