@@ -1,26 +1,31 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is an n-gram model over bytes of order ``ORDER``, smoothed by
-Witten-Bell backoff. Counts cover every byte of every document, and every
-n-gram that occurs is in the model, so the model grows with the corpus. Where
-it has more than ``SHARD_GRAMS`` n-grams of the highest order it is cut into
-shards by the last two symbols of the context: an n-gram and all its suffixes
-of three symbols or more are in the same shard, shorter ones are in each. What
-a shard says of its windows is what the whole automaton says, texts are read
-once a shard, and only one shard is broadcast at a time.
-
-Each kept context is a state. An arc for each kept continuation carries its
-log-probability and leads to the longest suffix that is a state; a failure arc
-carries the backoff weight and leads to the next shorter context. Texts run
-through the automaton from left to right, many at once: each carries its state
-and adds up log-probabilities. Long texts are cut into stretches that begin
-``ORDER - 1`` bytes early, which brings the automaton to the very state it
-would have had, so the sums are those of one traversal.
+The automaton has two kinds of states. Those of bytes are contexts of up to
+``ORDER - 1`` bytes: every n-gram of bytes that occurs in any document is an
+arc, smoothed by Witten-Bell, and a failure arc with the backoff weight leads to
+the next shorter context. There are at most 257 ** ``ORDER`` of them whatever
+the corpus, so they are broadcast. Those of phrases are the phrase that was read
+last: texts are cut after every word whose hash is 0 modulo ``CUT``, which cuts
+repeated passages alike wherever they stand. Each phrase that follows another
+anywhere in the corpus is an arc, with ``n`` of ``whole`` occurrences; the
+failure arc leads into the bytes, with ``PRIOR`` occurrences to share
+(Dirichlet smoothing): (n + PRIOR * bytes) / (whole + PRIOR). Arcs of phrases
+are never pruned and grow with the corpus; they stay a table, which positions
+meet by joins, so no machine holds them all.
+
+One traversal from left to right carries the byte state of a text, adds up
+log-probabilities and notes them at the ends of phrases; where the state of a
+phrase is known, what its arc says takes their place. Long texts are cut into
+stretches that begin ``ORDER - 1`` bytes early, which brings the automaton to
+the very state it would have had. A text that is scored under the corpus that
+holds it would be predicted from itself, so its own occurrences of phrases are
+taken off the counts (``own``): what is left tells what the rest of the corpus
+knows of it.
 """
 
 from __future__ import annotations
 
-import pickle
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +35,15 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .shared import materialize, text_batches
 
-ORDER, SHARD_GRAMS = 5, 2_000_000
+ORDER, CUT, PRIOR = 3, 8, 1.0
 STRETCH = 512
-_CONTEXT = (1 << 18) - 1
-_U8 = np.uint64(8)
+
+
+class Model(NamedTuple):
+    """The byte states, and the table (ctx, pair, n) of phrase arcs: ``pair`` is a phrase after ``ctx``."""
+
+    bytes: dict
+    arcs: DataFrame
 
 
 def _windows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -69,43 +79,28 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kept_grams(docs: DataFrame, min_share: float = 0.0) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """N-grams of each order with their counts, and the number of positions; all that occur, or those of a share."""
-    return _kept(materialize(count_grams(docs), "grams"), min_share)
-
-
-def _shorter(level: DataFrame, k: int) -> DataFrame:
-    """N-grams of k symbols: a shorter n-gram occurs wherever a longer one ends with it."""
-    return level.groupBy((F.col("gram").bitwiseAND(F.lit((1 << (9 * k)) - 1))).alias("gram")).agg(F.sum("n").alias("n"))
-
-
-def _sorted(level: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = level.toPandas()
+def byte_states(docs: DataFrame) -> dict:
+    """The automaton of all n-grams of bytes; at most 257 ** ORDER counts reach the driver."""
+    rows = count_grams(docs).toPandas()
     order = np.argsort(rows["gram"].to_numpy(), kind="stable")
-    return rows["gram"].to_numpy()[order].astype(np.uint64), rows["n"].to_numpy()[order].astype(np.float64)
+    top, n = rows["gram"].to_numpy()[order].astype(np.uint64), rows["n"].to_numpy()[order]
+    return automaton(*levels(top, n))
 
 
-def _kept(top: DataFrame, min_share: float) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    total = top.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, min_share * total)
-    keys, counts, level = [], [], top
-    for k in range(ORDER, 0, -1):
-        if k < ORDER:
-            level = _shorter(level, k)
-        rows = _sorted(level.where(F.col("n") >= least))
-        keys.insert(0, rows[0])
-        counts.insert(0, rows[1])
-    return keys, counts, int(total)
-
+def levels(top: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """N-grams of each order with their counts: a shorter one occurs wherever a longer one ends with it."""
+    keys, counts = [], []
+    for k in range(1, ORDER + 1):
+        c = tv.Counter64()
+        c.add(top & np.uint64((1 << (9 * k)) - 1), n)
+        c.fold()
+        keys.append(c.keys)
+        counts.append(c.counts.astype(np.float64))
+    return keys, counts
 
-def automaton(keys: list[np.ndarray], counts: list[np.ndarray], contexts: list[tuple[np.ndarray, np.ndarray]] | None = None) -> dict:
-    """States, arcs with log10 probabilities and next states, failure states and backoff weights.
 
-    A kept n-gram's context is kept too, for it occurs as often or more; but a
-    context is a state only if a continuation of it is kept. ``contexts`` has
-    the counts of contexts by length where ``keys`` is a shard without them.
-    """
-    contexts = contexts or list(zip(keys, counts))
+def automaton(keys: list[np.ndarray], counts: list[np.ndarray]) -> dict:
+    """States, arcs with log10 probabilities and next states, failure states and backoff weights, by Witten-Bell."""
     names = [np.zeros(1, np.uint64)]  # state ids by order of context: (context, its first id)
     first = [0]
     for k in range(1, ORDER):
@@ -134,7 +129,7 @@ def automaton(keys: list[np.ndarray], counts: list[np.ndarray], contexts: list[t
         at = np.searchsorted(names[k], ctx)
         # Occurrences of the context: the kept count of it, or all positions at order 0.
         if k:
-            known, times = (np.append(x, x.dtype.type(0)) for x in contexts[k - 1])
+            known, times = (np.append(x, x.dtype.type(0)) for x in (keys[k - 1], counts[k - 1]))
             pos = np.minimum(np.searchsorted(known[:-1], names[k]), len(known) - 1)
             # A context of padding alone is no n-gram: it occurs as often as its kept continuations.
             whole = np.where(known[pos] == names[k], times[pos], 0)
@@ -157,66 +152,14 @@ def automaton(keys: list[np.ndarray], counts: list[np.ndarray], contexts: list[t
         arc_p.append(np.log10(p).astype(np.float32))
         arc_to.append(state(grams, k + 1) if k + 1 < ORDER else state(grams & np.uint64((1 << (9 * (ORDER - 1))) - 1), ORDER - 1))
     begin = int(state(np.zeros(1, np.uint64), ORDER - 1)[0])
-    return {"begin": begin, "names": names, "first": first, "arcs": np.concatenate(arc_key), "p": np.concatenate(arc_p), "to": np.concatenate(arc_to).astype(np.int32), "fail": fail, "back": back}
-
-
-def built(levels: list[DataFrame], contexts: list[DataFrame] = ()) -> dict:
-    """The automaton of n-grams by order, made by one task; ``contexts`` are counts of contexts of 3 symbols and more."""
-    rows, tables, cut = None, len(levels) + len(contexts), bool(contexts)
-    for k, x in enumerate([*levels, *contexts]):
-        x = x.select(F.lit(k).alias("k"), "gram", "n")
-        rows = x if rows is None else rows.union(x)
-
-    def run(batches):
-        got = [[tv.column(b, i) for i in range(3)] for b in tv.batches(batches)]
-        k, gram, n = (np.asarray(pa.concat_arrays([x[i] for x in got])) if got else np.zeros(0, np.int64) for i in range(3))
-        del got
-        own = []
-        for j in range(tables):
-            on = np.flatnonzero(k == j)
-            on = on[np.argsort(gram[on], kind="stable")]
-            own.append((gram[on].astype(np.uint64), n[on].astype(np.float64)))
-        a = automaton([x for x, _ in own[:ORDER]], [x for _, x in own[:ORDER]], [*own[:2], *own[ORDER:]] if cut else None)
-        if not cut:
-            del a["names"]
-        raw = pickle.dumps(a, 5)
-        for lo in range(0, len(raw), 1 << 22):
-            yield pa.record_batch([pa.array([lo]), pa.array([raw[lo : lo + (1 << 22)]], pa.binary())], ["at", "raw"])
-
-    # The file keeps what is made away from the driver until it is wanted.
-    table = materialize(rows.repartition(1).mapInArrow(run, "at long, raw binary"), "model")
-    return pickle.loads(b"".join(r.raw for r in sorted(table.toLocalIterator(), key=lambda r: r["at"])))
-
-
-class Shards:
-    """A model in parts, each fetched when its turn comes; ``n`` of them."""
-
-    def __init__(self, top: DataFrame, n: int):
-        self.n, self.levels = n, [top]
-        for k in range(ORDER - 1, 0, -1):
-            self.levels.insert(0, materialize(_shorter(self.levels[0], k), f"grams{k}"))
-
-    def part(self, i: int) -> dict:
-        """The automaton of the windows whose context ends with a pair of symbols of shard ``i``."""
-
-        def of(level: DataFrame, shift: int) -> DataFrame:
-            pair = F.shiftright("gram", shift).bitwiseAND(F.lit(_CONTEXT))
-            return level.where(F.shiftright((pair * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % self.n == i)
-
-        return built([x if k < 2 else of(x, 9) for k, x in enumerate(self.levels)], [of(x, 0) for x in self.levels[2:-1]])
-
-
-def shard_of(grams: np.ndarray, n: int) -> np.ndarray:
-    pair = grams >> np.uint64(9) & np.uint64(_CONTEXT)
-    return ((pair * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)) % np.uint64(n)
+    return {"begin": begin, "arcs": np.concatenate(arc_key), "p": np.concatenate(arc_p), "to": np.concatenate(arc_to).astype(np.int32), "fail": fail, "back": back}
 
 
 class Traverser:
     """Runs texts through the automaton, all stretches of a slice abreast."""
 
-    def __init__(self, a: dict, sharded: bool = False):
+    def __init__(self, a: dict):
         self.a, self.table = a, tv.IntTable(a["arcs"])
-        self.contexts = [tv.IntTable(c) for c in a["names"]] if sharded else []
         self.root = np.log10(1 / 256).astype(np.float32)
 
     def step(self, state: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,19 +185,10 @@ class Traverser:
             miss, at = miss[~ok], at[~ok]
         return to, logp
 
-    def windows(self, grams: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of the last symbols of windows, each from the state of its context's longest suffix that is one."""
-        state, left = np.zeros(len(grams), np.int32), np.arange(len(grams))
-        for j in range(ORDER - 1, 0, -1):
-            pos = self.contexts[j].find(grams[left] >> np.uint64(9) & np.uint64((1 << (9 * j)) - 1))
-            state[left[pos >= 0]] = self.a["first"][j] + pos[pos >= 0]
-            left = left[pos < 0]
-        return self.step(state, grams & np.uint64(511))[1]
-
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Sum of log10 probabilities of each text."""
+    def bytes(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Log10 probability of each byte after those before it in its text."""
         size = np.diff(off)
-        out = np.zeros(len(size))
+        out = np.zeros(len(data), np.float32)
         if not len(data):
             return out
         parts = -(-size // STRETCH)
@@ -267,29 +201,77 @@ class Traverser:
         order = np.argsort(-(end - begin + warm), kind="stable")  # so that those that still run come first
         text, begin, end, warm = text[order], begin[order], end[order], warm[order]
         length = end - begin + warm
-        state, total = np.where(warm == 0, self.a["begin"], 0).astype(np.int32), np.zeros(len(text))
+        state = np.where(warm == 0, self.a["begin"], 0).astype(np.int32)
         running = len(text)
         sym_of = data.astype(np.uint64) + np.uint64(1)
         for t in range(int(length[0])):
             running = int(np.searchsorted(-length[:running], -t, "left"))
             at = begin[:running] - warm[:running] + t
             state[:running], logp = self.step(state[:running], sym_of[at])
-            total[:running] += np.where(t >= warm[:running], logp, 0)
-        np.add.at(out, text, total)
+            on = t >= warm[:running]
+            out[at[on]] = logp[on]
         return out
 
 
-def score(docs: DataFrame, model: dict | Shards) -> DataFrame:
-    """doc_id, n_bytes, log10_prob, bits_per_byte of every row of ``docs``.
+def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the phrases of each text, which together are the text, and their offsets by text.
 
-    A null or empty text has 0 bytes, log-probability 0 and a null
-    bits_per_byte; a null doc_id stays null; repeated rows each get their row.
-    Other columns are ignored, whatever their names. A model of an empty corpus
-    gives uniform bytes.
+    A phrase ends with the one space after a word whose hash is 0 modulo CUT, or with the text.
     """
-    if isinstance(model, Shards):
-        return _score_by_shards(docs, model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    start, end, tok = tv.words(data, off, tv.NONSPACE)
+    last = end[(tv.span_hash(data, start, end) % np.uint64(CUT) == 0) & (end < off[1:][tv.doc_of(tok)])]
+    begin = np.unique(np.concatenate([off[:-1], last + 1]))
+    begin = begin[begin < len(data)]
+    return begin, np.append(begin[1:], len(data)), np.searchsorted(begin, off)
+
+
+def phrase_arcs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, begin, end, ctx, pair) of each phrase but the first of a text; ctx names the phrase before."""
+    begin, end, at = phrases(data, off)
+    h = tv.span_hash(data, begin, end)
+    later = np.ones(len(begin), bool)
+    later[at[:-1][np.diff(at) > 0]] = False
+    on = np.flatnonzero(later)
+    ctx = h[on - 1]
+    pair = tv.mix(ctx * np.uint64(0xD6E8FEB86659FD93) + h[on])
+    return tv.doc_of(at)[on], begin[on], end[on], ctx.view(np.int64), pair.view(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def count_arcs(docs: DataFrame) -> DataFrame:
+    """(ctx, pair, n): how often each phrase follows each, over all texts."""
+
+    def run(batches):
+        for b in tv.batches(batches):
+            texts = tv.column(b, 0)
+            for lo, hi in tv.slices(texts, 4 * tv.SLICE_BYTES):
+                *_, ctx, pair = phrase_arcs(*tv.buffer(texts.slice(lo, hi - lo)))
+                _, at, n = np.unique(pair, return_index=True, return_counts=True)
+                if len(at):
+                    yield pa.record_batch([pa.array(ctx[at]), pa.array(pair[at]), pa.array(n)], ["ctx", "pair", "n"])
+
+    rows = _texts(docs).select("text").where("text is not null and text <> ''").mapInArrow(run, "ctx long, pair long, n long")
+    return rows.groupBy("ctx", "pair").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame) -> Model:
+    """The automaton of all documents; rows with a null or empty text add nothing, repeated rows count each time."""
+    return Model(byte_states(docs), materialize(count_arcs(docs), "arcs"))
+
+
+_PHRASE = pa.struct([("ctx", pa.int64()), ("pair", pa.int64()), ("base", pa.float64()), ("own", pa.int32()), ("own_whole", pa.int32())])
+
+
+def spelled(docs: DataFrame, states: dict, own: bool) -> DataFrame:
+    """doc_id, n_bytes, base, phrases: texts under the byte states, with their phrases' arcs and own occurrences."""
+    shared = docs.sparkSession.sparkContext.broadcast(states)
+
+    def times(text: np.ndarray, what: np.ndarray) -> np.ndarray:
+        _, back, n = np.unique(tv.mix(what.view(np.uint64) ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_inverse=True, return_counts=True)
+        return n[back] if own else np.zeros(len(what), np.int64)
 
     def run(batches):
         tr = Traverser(shared.value)
@@ -297,61 +279,42 @@ def score(docs: DataFrame, model: dict | Shards) -> DataFrame:
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             for lo, hi in tv.slices(texts, 4 * tv.SLICE_BYTES):
                 data, off = tv.buffer(texts.slice(lo, hi - lo))
-                logp, size = tr.score(data, off), np.diff(off)
-                bits = np.where(size > 0, -logp * np.log2(10) / np.maximum(size, 1), np.nan)
-                yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(size), pa.array(logp), pa.array(bits, from_pandas=True)], ["doc_id", "n_bytes", "log10_prob", "bits_per_byte"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, log10_prob double, bits_per_byte double")
-
-
-def _score_by_shards(docs: DataFrame, model: Shards) -> DataFrame:
-    """The same from a model in shards: sums of a text's windows by shard meet under the text's digest."""
-    spark, n = docs.sparkSession, model.n
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.sha2("text", 256))
-    parts = None
-    for i in range(n):
-        shared = spark.sparkContext.broadcast(model.part(i))
-
-        def run(batches, shared=shared, i=i):
-            tr = Traverser(shared.value, True)
-            for b in tv.batches(batches):
-                digests, texts = tv.column(b, 0), tv.column(b, 1)
-                for lo, hi in tv.slices(texts):
-                    data, off = tv.buffer(texts.slice(lo, hi - lo))
-                    g = _windows(data, off)
-                    on = np.flatnonzero(shard_of(g, n) == i)
-                    uniq, back = np.unique(g[on], return_inverse=True)
-                    logp = np.zeros(len(g))
-                    logp[on] = tr.windows(uniq)[back] if len(on) else 0
-                    yield pa.record_batch([digests.slice(lo, hi - lo), pa.array(tv.sum_by(logp, off))], ["digest", "logp"])
-
-        part = materialize(rows.where("text <> ''").select("digest", "text").mapInArrow(run, "digest string, logp double").groupBy("digest").agg(F.first("logp").alias("logp")), "part")
-        parts = part if parts is None else parts.union(part)
-        shared.destroy()
-    whole = parts.groupBy("digest").agg(F.sum("logp").alias("logp"))
-    size, logp = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), F.coalesce("logp", F.lit(0.0))
-    out = rows.select("doc_id", "digest", size.alias("n_bytes")).join(whole, "digest", "left")
-    bits = F.when(F.col("n_bytes") > 0, -logp * F.lit(float(np.log2(10))) / F.col("n_bytes"))
-    return out.select("doc_id", "n_bytes", logp.alias("log10_prob"), bits.alias("bits_per_byte"))
-
-
-def train(docs: DataFrame, min_share: float = 0.0) -> dict | Shards:
-    """The automaton of all documents; rows with a null or empty text add nothing, repeated rows count each time."""
-    top = materialize(count_grams(docs), "grams")
-    n = -(-top.count() // SHARD_GRAMS)
-    if n > 1 and not min_share:
-        return Shards(top, n)
-    if min_share:
-        keys, counts, _ = _kept(top, min_share)
-        return automaton(keys, counts)
-    levels = [top]
-    for k in range(ORDER - 1, 0, -1):
-        levels.insert(0, _shorter(levels[0], k))
-    return built(levels)
+                logp = np.concatenate([[0.0], np.cumsum(tr.bytes(data, off), dtype=np.float64)])
+                text, begin, end, ctx, pair = phrase_arcs(data, off)
+                cols = [pa.array(ctx), pa.array(pair), pa.array(logp[end] - logp[begin]), *(pa.array(times(text, x), pa.int32()) for x in (pair, ctx))]
+                rows = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(hi - lo + 1)), pa.int32()), pa.StructArray.from_arrays(cols, fields=list(_PHRASE)))
+                yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(logp[off[1:]] - logp[off[:-1]]), rows], ["doc_id", "n_bytes", "base", "phrases"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_bytes long, base double, phrases array<struct<ctx: long, pair: long, base: double, own: int, own_whole: int>>")
+
+
+def score(docs: DataFrame, model: Model, own: bool = False) -> DataFrame:
+    """doc_id, n_bytes, log10_prob, bits_per_byte of every row of ``docs``.
+
+    ``own`` says that the model is of these documents: a row's own occurrences
+    of phrases are then left out of account, those of its copies are not, so
+    copies score apart from texts that occur once. A null or empty text has 0
+    bytes, log-probability 0 and a null bits_per_byte; a null doc_id stays null;
+    repeated rows each get their row; texts of any length are read entire.
+    Columns other than doc_id and text are ignored, whatever their names. A
+    model of an empty corpus gives uniform bytes; an empty table gives no row.
+    """
+    # The row's number is stored with it, so it stays the same when a task is run again.
+    rows = materialize(spelled(docs, model.bytes, own).withColumn("row", F.monotonically_increasing_id()), "spelled")
+    places = rows.select("row", F.explode("phrases").alias("x")).select("row", "x.*")
+    whole = model.arcs.groupBy("ctx").agg(F.sum("n").alias("whole")).where("whole > 1" if own else "true")
+    known = places.join(whole, "ctx").where("whole > own_whole").join(model.arcs, ["ctx", "pair"], "left")
+    seen = F.coalesce("n", F.lit(0)) - F.col("own")
+    arc = F.when(seen > 0, F.log10(seen + PRIOR * F.pow(F.lit(10.0), F.col("base")))).otherwise(float(np.log10(PRIOR)) + F.col("base"))
+    gain = arc - F.log10(F.col("whole") - F.col("own_whole") + PRIOR) - F.col("base")
+    gains = known.groupBy("row").agg(F.sum(gain).alias("gain"))
+    logp = F.col("base") + F.coalesce("gain", F.lit(0.0))
+    out = rows.select("row", "doc_id", "n_bytes", "base").join(gains, "row", "left").select("doc_id", "n_bytes", logp.alias("log10_prob"))
+    return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("log10_prob") * float(np.log2(10)) / F.col("n_bytes")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under the model of all documents."""
     text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs))
+    return score(docs, train(docs), own=True)
