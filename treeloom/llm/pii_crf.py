@@ -2,10 +2,11 @@
 
 Tokens are runs of non-space characters. A token's features are those of its
 shape (digits kept one by one, letters collapsed, punctuation kept) and of its
-neighbours' shapes. Weights and label transitions are trained on a small
-labelled table (``labelled_table``, or a caller's own) by gradient ascent on the
-regularised log-likelihood, and frozen. Emissions depend on shapes alone, so
-they are worked out once for each distinct shape.
+neighbours' shapes: the shape entire, its trigrams, and counts of what is in it;
+none of them is a pattern of personal data. Weights and label transitions are
+trained on a small labelled table (``labelled_table``, or a caller's own) by
+gradient ascent on the regularised log-likelihood, and frozen. Emissions depend
+on shapes alone, so they are worked out once for each distinct shape.
 
 Decoding is exact Viterbi in numpy batches. Where the label O beats every other
 label by more than transitions could ever make up, O is on the best path
@@ -48,58 +49,90 @@ def shape_of(token: bytes) -> str:
     return re.sub(r"(X|x)\1+", r"\1", bytes(_CLASS[np.frombuffer(token, np.uint8)]).decode())
 
 
+EDGE = "#,.:;/_-"
+
+
 @lru_cache(200_000)
 def features(shape: str) -> tuple[str, ...]:
     """What the model sees of a shape."""
-    core = shape.strip("#,.:;/_-") if shape.strip("#,.:;/_-") else "#"
+    core = shape.strip(EDGE) or "#"
     runs = [len(x) for x in re.findall("d+", core)]
     short = re.sub("d+", "d", core)
-    digits, groups = sum(runs), len(runs)
-    return (
-        "core=" + core[:40], "short=" + short[:40], f"digits={min(digits, 24)}", f"groups={min(groups, 6)}", "runs=" + "-".join(map(str, runs[:6])),
-        f"at={'@' in core}", f"at.={bool(re.fullmatch(r'[Xxd.+_#-]+@[Xxd-]+(?:[.][Xxd-]+)+', core))}", f"quad={bool(re.fullmatch(r'd{1,3}(?:[.]d{1,3}){3}', core))}",
-        f"open={core[:1]}", f"close={core[-1:]}", f"letters={bool(re.search('[Xx]', core))}", f"only={short if len(short) < 4 else ''}",
-    )
+    around = "^" + short + "$"
+    out = [
+        "core=" + core, "short=" + short, f"digits={sum(runs)}", f"groups={len(runs)}", "runs=" + "-".join(map(str, runs)), f"longest={max(runs, default=0)}", f"shortest={min(runs, default=0)}",
+        f"open={core[:1]}", f"close={core[-1:]}", f"letters={'x' in core.lower()}", f"turns={len(re.findall('[Xx]d|d[Xx]', core))}",
+    ]
+    out += [f"n{ch}={short.count(ch)}" for ch in "@.-:()+/"]
+    return tuple(dict.fromkeys([*out, *("tri=" + around[k : k + 3] for k in range(len(around) - 2))]))
+
+
+#: Countries of account numbers: letters after the country and its two digits, then digits.
+_IBAN = {"DE": (0, 18), "FR": (0, 23), "GB": (4, 14), "ES": (0, 20), "NL": (4, 10), "CH": (0, 17), "BE": (0, 12), "PL": (0, 24), "PT": (0, 21), "AT": (0, 16)}
+#: National and international ways of writing telephone numbers; d is a digit, spaces part tokens.
+_PHONES = """(ddd) ddd-dddd|ddd-ddd-dddd|ddd.ddd.dddd|+1 (ddd) ddd-dddd|+1 ddd ddd dddd|+1-ddd-ddd-dddd|1-ddd-ddd-dddd|0dd dddd dddd|0dddd dddddd|0dd dddddddd|0ddd dddddd|0ddd/dddddd|0ddd-dddddd
+0d dd dd dd dd|0d.dd.dd.dd.dd|+33 d dd dd dd dd|+44 dd dddd dddd|+44 dddd dddddd|+49 ddd ddddddd|+49 dd dddddddd|+49-ddd-ddddddd|+34 ddd dd dd dd|+34 ddd ddd ddd|9dd ddd ddd|+dd ddd ddd dddd|+ddddddddddd|+dddddddddddd|(0dd) dddd dddd""".replace("\n", "|").split("|")
+_DECOYS = """d|dd|ddd|dddd|ddddd|dddddd|dddddddd|dddddddddd|dddddddddddddddddddddddd|d.d|d.dd|d.d.d|dd.d.dd|dddd-dd-dd|dd.dd.dddd|dd/dd/dddd|d/d|dd:dd|dd:dd:dd|$d|$ddd.dd|d,ddd|d,ddd,ddd|dd%|d.d%|(dddd)|[dd]|dd-dd|dddd-dddd
+978-d-dddd-dddd-d|vd.d|vd.d.d|dd.d.|#ddd|dst|dth|dx|ddx|x-dd|x.dd|x_d|x/d|x:dd|X-dddd|XXdddd|XX-dd-X|x(d)|x=d|http://x.x/ddd|https://x.x.x/x/d|/x/x/d|@x|x@|@xd|x.x|x-x|x/x|x_x|x:x|x::x|"x"|(x)|{x}|x=|=|-|--|...|*|&|+|/|hh:hh:hh:hh:hh:hh""".replace("\n", "|").split("|")
 
 
-def labelled_table(n: int = 600, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def labelled_table(n: int = 1000, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """A small labelled table of made-up sentences: tokens and labels.
 
-    Numbers, names and words are random; half of the sentences hold no personal
-    data but things that look a little like it (versions, dates, amounts, hashes).
+    Words, names and numbers are random, written in many countries' ways; half
+    of the sentences hold no personal data but what looks a little like it
+    (versions, dates, amounts, hashes, paths, hardware addresses). Any token may
+    have marks around it.
     """
     r = random.Random(seed)
-    syll = "an er on in th ou ti re st en de la ch au que mi do ver sch ung ción ez ai oi".split()
+    syll = "an er on in th ou ti re st en de la ch au que mi do ver sch ung ción ez ai oi ka no wa gü és".split()
     word = lambda: "".join(r.choice(syll) for _ in range(r.randint(1, 4)))
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    marks = lambda: "".join(r.choice(",.;:!?)]}#*%$&|~'\"") for _ in range(r.randint(1, 3)))
+
+    def made(pattern: str) -> list[str]:
+        return re.sub("[dhxX]", lambda m: num(1) if m[0] == "d" else hexa(2) if m[0] == "h" else word() if m[0] == "x" else r.choice("ABCDEFGHKLMNPRSTUVWZ"), pattern).split(" ")
 
     def plain() -> str:
         w = word()
         w = r.choice([w, w, w, w.title(), w.upper()])
-        return w + r.choice(["", "", "", "", ",", ".", "!!", "###", "***", "%%%", "$$$", "&&&", ":", ";"])
+        return w + (marks() if r.random() < 0.3 else "")
 
     def decoy() -> list[str]:
-        return r.choice([
-            [num(r.randint(1, 6))], [f"{num(1)}.{num(1)}"], [f"{num(1)}.{num(2)}.{num(1)}"], [f"{num(4)}-{num(2)}-{num(2)}"], [f"{num(2)}:{num(2)}"], [f"${num(3)}.{num(2)}"], [f"{num(2)}%"], ["token", "=", '"' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"'],
-            [f"({num(4)})"], [f"@{word()}"], [f"{word()}-{word()}"], [f"{word()}.{word()}"], ["|"], [f"{num(1)},{num(3)},{num(3)}"], [f"v{num(1)}.{num(1)}"], [f"{word()}/{word()}"], [f"http://{word()}.example.com/{num(3)}"], ["2.0."], ["4.0."], ["BY-NC"], [num(8)], [num(10)], [num(24)], [f"{num(2)}.{num(2)}.{num(4)}"],
-        ])
+        k = r.randrange(12)
+        if k == 0:
+            return [hexa(r.choice([7, 8, 16, 32, 40, 64]))]
+        if k == 1:
+            return ["-".join(hexa(j) for j in (8, 4, 4, 4, 12))]
+        if k == 2:
+            return [word(), r.choice("=:"), '"' + "".join(r.choice("0123456789abcdefXYZ") for _ in range(r.randrange(16, 44))) + '"']
+        return made(r.choice(_DECOYS))
 
     def private() -> tuple[str, list[str]]:
         k = r.choice(KINDS)
-        octet = lambda: str(r.randint(0, 255))
         if k == "EMAIL":
-            user = r.choice([word(), f"{word()}.{num(2)}", f"{word()}.{word()}", f"{word()}_{num(1)}", f"{word()}+{word()}", word().title()])
-            return k, [f"{user}@" + r.choice([f"mail{num(1)}.example.com", f"{word()}.com", f"{word()}.co.uk", f"{word()}-{word()}.org", "example.com", f"{word()}.de"])]
+            user = r.choice([word(), word() + num(r.randint(1, 4)), f"{word()}.{num(2)}", f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}-{word()}", f"{word()}+{word()}", word().title() + "." + word().title()])
+            host = ".".join(r.choice([word(), word(), word() + num(1), f"{word()}-{word()}"]) for _ in range(r.choice([1, 1, 2, 3])))
+            return k, [f"{user}@{host}." + r.choice(["com", "org", "net", "de", "fr", "es", "co.uk", "info", "io", "edu"])]
         if k == "PHONE":
-            a, b, c = num(3), num(3), num(4)
-            return k, r.choice([["+1", f"({a})", f"{b}-{c}"], ["+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"+1-{a}-{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{num(2)}", num(3), num(3), num(4)], [f"+1{a}{b}{c}"], [f"{a}.{b}.{c}"]])
+            return k, made(r.choice(_PHONES))
         if k == "IP":
-            return k, [".".join(octet() for _ in range(4))]
+            if r.random() < 0.7:
+                return k, [".".join(str(r.randint(0, 255)) for _ in range(4))]
+            groups = [hexa(r.randint(1, 4)) for _ in range(8)]
+            if r.random() < 0.5:
+                at = r.randrange(1, 6)
+                groups[at : at + r.randint(2, 7 - at)] = [""]
+            return k, [":".join(groups)]
         if k == "CARD":
-            return k, r.choice([[num(16)], [num(16)], [num(4), num(4), num(4), num(4)], ["-".join(num(4) for _ in range(4))], [num(15)]])
+            return k, made(r.choice(["d" * 16, "d" * 16, "dddd dddd dddd dddd", "dddd-dddd-dddd-dddd", "d" * 15, "dddd dddddd ddddd"]))
         if k == "SSN":
-            return k, [f"{num(3)}-{num(2)}-{num(4)}"]
-        return k, r.choice([[f"DE{num(20)}"], [f"FR{num(25)}"], [f"GB{num(2)}", "ABCD", num(4), num(4), num(4), num(2)], [f"ES{num(22)}"]])
+            return k, made("ddd-dd-dddd")
+        country = r.choice(list(_IBAN))
+        letters, digits = _IBAN[country]
+        code = country + num(2) + "".join(r.choice("ABCDEFGHKLMNPRSTUVWZ") for _ in range(letters)) + num(digits)
+        return k, [code] if r.random() < 0.5 else [code[j : j + 4] for j in range(0, len(code), 4)]
 
     rows = []
     for i in range(n):
@@ -108,16 +141,11 @@ def labelled_table(n: int = 600, seed: int = 7) -> list[tuple[list[str], list[st
             for _ in range(r.randint(0, 5)):
                 toks.append(plain())
                 labs.append("O")
-            if i % 2:
-                d = decoy()
-                toks += d
-                labs += ["O"] * len(d)
-            else:
-                k, t = private()
-                if r.random() < 0.3:
-                    t = t[:-1] + [t[-1] + r.choice([".", ",", "###", "***", "%%%", "$$$", "&&&", "!!", ";", "!!!"])]
-                toks += t
-                labs += [f"B-{k}"] + [f"I-{k}"] * (len(t) - 1)
+            kind, t = private() if i % 2 == 0 else ("", decoy())
+            if r.random() < 0.3:
+                t = [*t[:-1], t[-1] + marks()]
+            toks += t
+            labs += [f"B-{kind}", *[f"I-{kind}"] * (len(t) - 1)] if kind else ["O"] * len(t)
         for _ in range(r.randint(0, 4)):
             toks.append(plain())
             labs.append("O")
@@ -126,64 +154,78 @@ def labelled_table(n: int = 600, seed: int = 7) -> list[tuple[list[str], list[st
 
 
 class CRF:
-    """Weights by (feature, label) for a token and its two neighbours, and transitions by (label, label)."""
+    """Weights by (place, feature, label) for a token and its two neighbours, and transitions by (label, label)."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, trans: np.ndarray):
         self.index, self.w, self.trans = index, weights, trans
 
     def emit(self, shape: str, place: int) -> np.ndarray:
         """What a shape at the token (0), before it (1) or after it (2) adds to its labels."""
-        ids = [self.index[f] for f in (f"{place}{x}" for x in features(shape)) if f in self.index]
-        return self.w[ids].sum(0) if ids else np.zeros(N_LABELS)
+        ids = [self.index[f] for f in features(shape) if f in self.index]
+        return self.w[place, ids].sum(0) if ids else np.zeros(N_LABELS)
+
 
+def train(rows: list[tuple[list[str], list[str]]], epochs: int = 60, rate: float = 0.3, l2: float = 1e-4) -> CRF:
+    """Fit by full-batch AdaGrad on the log-likelihood; forward and backward passes run over all sentences at once.
 
-def train(rows: list[tuple[list[str], list[str]]], epochs: int = 80, rate: float = 0.3, l2: float = 1e-4) -> CRF:
-    """Fit by full-batch AdaGrad on the log-likelihood; forward and backward passes run over all sentences at once."""
+    Emissions and gradients go by distinct shape, so a pass costs what its shapes have features.
+    """
     if len(rows) > MAX_LABELLED:
         rows = sorted(rows, key=lambda x: zlib.crc32(" ".join(x[0]).encode()))[:MAX_LABELLED]
-    index: dict[str, int] = {}
-    top = max(len(t) for t, _ in rows)
-    n = len(rows)
-    width = 3 * len(features("x"))
-    feats = np.zeros((n, top, width), np.int64)
-    gold, size = np.zeros((n, top), np.int64), np.array([len(t) for t, _ in rows])
+    rows = sorted(rows, key=lambda x: -len(x[0]))  # so that those that still run come first
+    n, top = len(rows), len(rows[0][0])
+    size = np.array([len(t) for t, _ in rows])
+    running = [int((size > t).sum()) for t in range(top)]
+    mask = np.arange(top) < size[:, None]
+    shapes: dict[str, int] = {"<": 0, ">": 1}
+    at_shape = np.ones((n, top + 2), np.int64)
+    at_shape[:, 0] = 0
+    gold = np.zeros((n, top), np.int64)
     for i, (toks, labs) in enumerate(rows):
-        shapes = ["<", *(shape_of(t.encode()) for t in toks), ">"]
-        for t in range(len(toks)):
-            names = [f"{p}{x}" for p, s in ((0, shapes[t + 1]), (1, shapes[t]), (2, shapes[t + 2])) for x in features(s)]
-            feats[i, t] = [index.setdefault(x, len(index)) for x in names]
+        at_shape[i, 1 : len(toks) + 1] = [shapes.setdefault(shape_of(t.encode()), len(shapes)) for t in toks]
         gold[i, : len(labs)] = [LABELS.index(x) for x in labs]
-    mask = np.arange(top) < size[:, None]
-    w, trans = np.zeros((len(index), N_LABELS)), np.zeros((N_LABELS, N_LABELS))
+    index: dict[str, int] = {}
+    lists = [[index.setdefault(f, len(index)) for f in features(s)] for s in shapes]
+    feat = np.concatenate([np.array(x) for x in lists])
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]])
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(feat, kind="stable")
+    by_feat = np.flatnonzero(np.concatenate([[True], np.diff(feat[order]) > 0]))
+    places = [at_shape[:, 1:-1][mask], at_shape[:, :-2][mask], at_shape[:, 2:][mask]]
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        """Sums over tokens of values (tokens x labels), by place and feature."""
+        out = np.empty((3, len(index), N_LABELS))
+        for p, s in enumerate(places):
+            by_shape = np.stack([np.bincount(s, values[:, k], len(lists)) for k in range(N_LABELS)], 1)
+            out[p] = np.add.reduceat(by_shape[owner[order]], by_feat)
+        return out
+
+    w, trans = np.zeros((3, len(index), N_LABELS)), np.zeros((N_LABELS, N_LABELS))
     gw, gt = np.full(w.shape, 1e-8), np.full(trans.shape, 1e-8)
-    flat, at = feats[mask].reshape(-1), np.arange(n)
-    seen_w = np.zeros_like(w)
-    np.add.at(seen_w, flat, np.repeat(np.eye(N_LABELS)[gold[mask]], width, 0))
-    seen_t = np.zeros_like(trans)
-    pair = mask[:, 1:]
+    seen_w, seen_t, pair, at = spread(np.eye(N_LABELS)[gold[mask]]), np.zeros_like(trans), mask[:, 1:], np.arange(n)
     np.add.at(seen_t, (gold[:, :-1][pair], gold[:, 1:][pair]), 1)
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
     for _ in range(epochs):
-        e = np.where(mask[..., None], w[feats].sum(2), 0.0)
-        fwd, bwd = np.zeros((n, top, N_LABELS)), np.zeros((n, top, N_LABELS))
+        e = np.zeros((n, top, N_LABELS))
+        e[mask] = sum(np.add.reduceat(w[p][feat], first)[s] for p, s in enumerate(places))
+        fwd, bwd, step = np.zeros((n, top, N_LABELS)), np.zeros((n, top, N_LABELS)), np.exp(trans)
         fwd[:, 0] = e[:, 0]
         for t in range(1, top):
-            x = fwd[:, t - 1, :, None] + trans
-            big = x.max(1)
-            fwd[:, t] = np.where(mask[:, t, None], e[:, t] + big + np.log(np.exp(x - big[:, None]).sum(1)), fwd[:, t - 1])
+            k = running[t]
+            big = fwd[:k, t - 1].max(1, keepdims=True)
+            fwd[:k, t] = e[:k, t] + big + np.log(np.exp(fwd[:k, t - 1] - big) @ step)
         last = fwd[at, size - 1]
-        log_z = last.max(1) + np.log(np.exp(last - last.max(1)[:, None]).sum(1))
+        big = last.max(1)
+        log_z = big + np.log(np.exp(last - big[:, None]).sum(1))
         exp_t = np.zeros_like(trans)
         for t in range(top - 2, -1, -1):
-            x = trans + (e[:, t + 1] + bwd[:, t + 1])[:, None, :]
-            big = x.max(2)
-            bwd[:, t] = np.where(mask[:, t + 1, None], big + np.log(np.exp(x - big[..., None]).sum(2)), 0.0)
-            on = mask[:, t + 1]
-            exp_t += np.exp(fwd[on, t, :, None] + x[on] - log_z[on, None, None]).sum(0)
-        p = np.exp(fwd + bwd - log_z[:, None, None])[mask]
-        exp_w = np.zeros_like(w)
-        exp_w[flat[order][first]] = np.add.reduceat(np.repeat(p, width, 0)[order], first)
+            k = running[t + 1]
+            x = e[:k, t + 1] + bwd[:k, t + 1]
+            big = x.max(1, keepdims=True)
+            right = np.exp(x - big)
+            bwd[:k, t] = big + np.log(right @ step.T)
+            exp_t += step * (np.exp(fwd[:k, t] + big - log_z[:k, None]).T @ right)
+        exp_w = spread(np.exp(fwd + bwd - log_z[:, None, None])[mask])
         dw, dt = (seen_w - exp_w) / n - l2 * w, (seen_t - exp_t) / n - l2 * trans
         gw += dw * dw
         gt += dt * dt
@@ -324,7 +366,9 @@ def find(docs: DataFrame, model: CRF | None = None) -> DataFrame:
 
     begin and end are character positions in the text. Null and empty texts
     have none, a null doc_id stays null, repeated rows repeat their results and
-    repeated values each count. Other columns are ignored, whatever their names.
+    repeated values each count; of labellings of equal score the one with the
+    first labels in ``LABELS`` is taken. Texts of any length are read entire; an
+    empty table gives no row. Other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
