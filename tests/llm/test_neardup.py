@@ -4,10 +4,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-
+from pyspark.sql import functions as F
 
 from treeloom.llm import neardup
 
+from .conftest import prose
+
 
 def shingle_set(t):
     w = re.findall(r"[^\W_]+", t.lower())
@@ -58,8 +60,6 @@ def test_against_brute_force(docs):
 def test_recall_of_edited_copies(spark):
     import random
 
-    from tests.llm.conftest import prose
-
     r = random.Random(5)
     rows, copies = [], 0
     for k in range(150):
@@ -102,8 +102,6 @@ def test_joint_estimate_is_the_maximum():
 
 
 def test_hot_buckets_in_blocks(spark, monkeypatch):
-    from tests.llm.conftest import prose
-
     monkeypatch.setattr(neardup, "BLOCK", 16)
     w = prose(77, 150).split()
     rows = [(i, " ".join([*w[: i % 7 + 1], f"x{i}", *w[i % 7 + 1 :]])) for i in range(100)]
@@ -111,6 +109,53 @@ def test_hot_buckets_in_blocks(spark, monkeypatch):
     assert got == {0: set(range(100))}
 
 
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """Buckets whose pivot is like few of the members, cut into blocks or not, against brute force."""
+    import random
+
+    r, rows = random.Random(9), []
+    for g in range(12):
+        base = prose(g, 120).split()
+        for k in range(25):  # texts of a family share a part, so that bands collide; some are near copies, some aren't
+            own = prose(100 * g + k // 3 + 5000, 130).split()
+            w = base[: r.choice([40, 60, 90, 120])] + own[: r.choice([0, 30, 60, 130])]
+            w[r.randrange(len(w))] = f"zq{k}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    whole = groups_of(neardup.near_duplicates(df))
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    assert groups_of(neardup.near_duplicates(df)) == whole
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    assert groups_of(neardup.near_duplicates(df)) == whole
+    want = brute_groups(rows)
+    mine = {p for v in whole.values() for p in combinations(sorted(v), 2)}
+    true = {p for v in want.values() for p in combinations(sorted(v), 2)}
+    assert len(true) > 300 and len(mine & true) >= 0.95 * len(true) and mine <= true
+
+
+def test_pairs_beyond_pivots_are_all_compared(spark):
+    """Every pair of a bucket is either with the pivot, both verified with it, or compared."""
+    texts = [prose(3, 100)] * 1 + [prose(3, 100) + f" tail{k} x{k} y{k}" for k in range(30)] + [prose(50 + k // 2, 100) for k in range(20)]
+    _, _, _, regs = neardup.sketch_texts(pa.array(texts))
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(regs)], "doc_id long, regs binary")
+    buckets = spark.createDataFrame([(7, i, len(texts), 0) for i in range(len(texts))], "key long, doc_id long, n long, pivot long")
+    near = spark.createDataFrame([(0, k) for k in range(1, 31)], "a long, b long")
+    got = {(r.a, r.b) for r in neardup.beyond_pivots(buckets, near, reps).collect()}
+    assert got == {(31 + 2 * k, 32 + 2 * k) for k in range(10)}
+
+
+def test_bucket_of_fifty_thousand(spark):
+    """One template in 50,000 variants: comparisons are with the pivot alone, in well under a minute or two."""
+    import time
+
+    w = prose(77, 60).split()
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.lit(x) for x in w), F.concat(F.lit("x"), "id")).alias("text"))
+    began = time.time()
+    got = neardup.near_duplicates(rows)
+    assert got.where("group_id = 0").count() == 50_000 and got.where("keep").count() == 1
+    assert time.time() - began < 240
+
+
 def test_odd_rows(odd, empty):
     got = groups_of(neardup.near_duplicates(odd))
     assert got == {1: {1, 2, 3}, 9: {9, 12}}

@@ -9,11 +9,18 @@ jointly by maximum likelihood from the counts of larger, smaller and equal
 registers, and what may reach the threshold is verified on the texts themselves.
 Groups are the connected components of verified pairs.
 
-Sizes: per document the sketch pass moves nothing; 16 bytes per band are
-aggregated by bucket; only buckets of two or more move sketches, and a bucket
-with the same members as another is looked at once. Buckets above ``BLOCK``
-documents are cut into blocks that are compared block pair by block pair, so a
-hot bucket is many tasks and loses no pair.
+Only groups are wanted, so a bucket's members are first compared with one of
+them, its pivot, the one whose buckets are largest: what is verified with the
+pivot is one group, and pairs within it need no look. Pairs of the others, with
+one another and with that group, are all compared, whatever the bucket's size.
+A bucket of n copies takes n comparisons, in one task or many: members are cut
+into blocks of about ``BLOCK`` and blocks meet pair by pair.
+
+Sizes: the sketch pass moves nothing; (band, doc_id) pairs are aggregated by
+bucket; buckets of two or more move ids, and registers travel once for each
+distinct pair or member of a block, not for each band; a bucket with the same
+members as another is looked at once. Texts of documents in likely pairs alone
+are shuffled, once for each pair's end.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from . import textvec as tv
 from .shared import materialize, text_batches
 
 M, BAND, BASE, A, Q = 96, 3, 1.001, 20.0, 65534
-SHINGLE, THRESHOLD, MARGIN, BLOCK = 3, 0.5, 0.16, 4096
+SHINGLE, THRESHOLD, MARGIN, BLOCK, BROADCAST_IDS = 3, 0.5, 0.16, 4096, 4_000_000
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(1 << 62, 1 << 63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, M, dtype=np.uint64)
@@ -122,62 +129,45 @@ def _compare(regs: np.ndarray, card: np.ndarray, i: np.ndarray, j: np.ndarray) -
     return out
 
 
-def bucket_pairs(regs: np.ndarray, side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket (or of two blocks of it) that may reach the threshold, enough to connect all that do.
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], 0)
+    return np.flatnonzero(new)
 
-    Members already joined by a confident pair aren't compared again: their
-    component is the same. ``side``: block of each member; in a pair of blocks
-    only pairs across are new.
+
+def _block_pairs(t: pa.Table) -> pa.RecordBatch:
+    """Likely pairs a < b of rows (key, p, q, side, label, doc_id, regs) sorted by (key, p, q).
+
+    Rows of one key, p and q are compared if their labels differ and, where p
+    and q do, their sides.
     """
-    n = len(regs)
+    key, p, q, side, label, doc = (t.column(i).to_numpy() for i in range(6))
+    regs = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, M)
     card = cardinality(regs)
-    label, left, right = np.arange(n), [], []
-    for i in range(n - 1):
-        j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (same | (side[i + 1 :] != side[i])))
-        if not len(j):
-            continue
-        est = _compare(regs, card, np.full(len(j), i), j)
-        near = est >= THRESHOLD - MARGIN
-        left.append(np.full(int(near.sum()), i))
-        right.append(j[near])
-        sure = j[est >= THRESHOLD + MARGIN]
-        if len(sure):
-            label[np.isin(label, label[sure])] = label[i]
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    first = _runs(key, p, q)
+    size = np.diff(np.append(first, len(key)))
+    ahead = np.repeat(first + size, size) - np.arange(len(key)) - 1  # partners after each row
+    ends = np.cumsum(ahead)
+    found, at = [], 0
+    while at < len(key):
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
+        n = ahead[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        on = (label[i] != label[j]) & ((p[i] == q[i]) | (side[i] != side[j])) & (doc[i] != doc[j])
+        i, j = i[on], j[on]
+        on = _compare(regs, card, i, j) >= THRESHOLD - MARGIN
+        found.append(np.stack([np.minimum(doc[i[on]], doc[j[on]]), np.maximum(doc[i[on]], doc[j[on]])], 1))
+        at = stop
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _pairs_of_sorted(batches):
-    """Candidate pairs from rows sorted by (key, p, q): buckets lie together, whatever the batches' limits."""
+    """Likely pairs from sorted rows: blocks lie together, whatever the batches' limits."""
     held: list[pa.RecordBatch] = []
-
-    def flush(t: pa.Table):
-        key, p, q = (t.column(i).to_numpy() for i in range(3))
-        block, doc = t.column(3).to_numpy(), t.column(4).to_numpy()
-        regs = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint16).reshape(-1, M)
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
-        size = np.diff(np.append(first, len(key)))
-        left, right = [], []
-        for s in np.unique(size[size <= 8]):  # all pairs of all small buckets of a size at once
-            at = first[(size == s) & (p[first] == q[first])]
-            x, y = np.triu_indices(int(s), 1)
-            left.append((at[:, None] + x).reshape(-1))
-            right.append((at[:, None] + y).reshape(-1))
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            ok = _compare(regs, cardinality(regs), i, j) >= THRESHOLD - MARGIN
-            left, right = [i[ok]], [j[ok]]
-        for at, s in zip(first, size):
-            if s > 8 or p[at] != q[at]:
-                i, j = bucket_pairs(regs[at : at + s], block[at : at + s], bool(p[at] == q[at]))
-                left.append(at + i)
-                right.append(at + j)
-        i, j = np.concatenate(left), np.concatenate(right)
-        a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
     for b in tv.batches(batches):
         if not b.num_rows:
             continue
@@ -185,32 +175,68 @@ def _pairs_of_sorted(batches):
         t = pa.Table.from_batches(held)
         if t.num_rows < 20000:
             continue
-        key = [t.column(i).to_numpy() for i in range(3)]
-        change = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]))
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield flush(t.slice(0, cut))
+        cut = int(_runs(*(t.column(i).to_numpy() for i in range(3)))[-1])
+        if cut:
+            yield _block_pairs(t.slice(0, cut))
             held = t.slice(cut).combine_chunks().to_batches()
     if held:
-        yield flush(pa.Table.from_batches(held))
+        yield _block_pairs(pa.Table.from_batches(held))
+
 
+def members(reps: DataFrame) -> DataFrame:
+    """(key, doc_id, n, pivot): members of buckets of two or more; of buckets with the same members there is one.
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of documents that may reach the threshold."""
+    The pivot is the member with the most fellows in all its buckets, of equal ones the least.
+    """
     bands = reps.select("doc_id", F.explode("bands").alias("key"))
     h = F.xxhash64("doc_id")
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("s1"), F.sum(F.shiftright(h, 8)).alias("s2")).where("n > 1")
     once = buckets.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
-    rows = bands.join(once, "key")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1
-    last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.floor(rank / BLOCK).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id")
-    rows = rows.join(reps.select("doc_id", "regs"), "doc_id").select("key", "p", "q", "block", "doc_id", "regs")
+    rows = materialize(bands.join(once, "key").select("key", "doc_id", "n"), "members")
+    fellows = rows.join(rows.groupBy("doc_id").agg(F.sum("n").alias("fellows")), "doc_id")
+    pivots = fellows.groupBy("key").agg((-F.max(F.struct("fellows", (-F.col("doc_id")).alias("least")))["least"]).alias("pivot"))
+    return materialize(rows.join(pivots, "key"), "pivots")
+
+
+def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches may be of texts that reach the threshold."""
+    regs = reps.select(F.col("doc_id"), "regs")
+    both = pairs.join(regs.select(F.col("doc_id").alias("a"), F.col("regs").alias("x")), "a").join(regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("y")), "b")
+
+    def run(batches):
+        for t in tv.batches(batches):
+            n = t.num_rows
+            regs = np.frombuffer(b"".join([*tv.column(t, 2).to_pylist(), *tv.column(t, 3).to_pylist()]), np.uint16).reshape(-1, M)
+            keep = pa.array(_compare(regs, cardinality(regs), np.arange(n), np.arange(n, 2 * n)) >= THRESHOLD - MARGIN)
+            yield pa.record_batch([tv.column(t, 0).filter(keep), tv.column(t, 1).filter(keep)], ["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def beyond_pivots(buckets: DataFrame, near: DataFrame, reps: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of members that aren't both verified with their bucket's pivot; ``near`` has what is."""
+    joined = near.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id")).union(near.select(F.col("b"), F.col("a"))).withColumn("with", F.lit(True))
+    rows = buckets.where("doc_id <> pivot and n > 2").join(joined, ["pivot", "doc_id"], "left").withColumn("with", F.coalesce("with", F.lit(False)))
+    rows = materialize(rows.select("key", "doc_id", "with"), "sided")
+    count = rows.groupBy("key").agg(F.count_if("with").alias("n_with"), F.count_if(~F.col("with")).alias("n_rest")).where("n_rest > 0 and n_with + n_rest > 1")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    rows = rows.join(count, "key").withColumns({"b_with": blocks("n_with"), "b_rest": blocks("n_rest")})
+    block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("with"), F.col("b_with")).otherwise(F.col("b_rest"))).cast("int")
+    rows = rows.withColumn("block", block)
+    # Meetings of a block of the rest with one of the pivot's group (q below 0), and with one of the rest.
+    of_with = F.transform(F.sequence(F.lit(0), F.col("b_rest") - 1), lambda p: F.struct(p.alias("p"), (-1 - F.col("block")).alias("q")))
+    of_rest = F.concat(
+        F.when(F.col("n_with") > 0, F.transform(F.sequence(F.lit(0), F.col("b_with") - 1), lambda q: F.struct(F.col("block").alias("p"), (-1 - q).alias("q")))).otherwise(F.array().cast("array<struct<p: int, q: int>>")),
+        F.transform(F.sequence(F.lit(0), F.col("b_rest") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"))),
+    )
+    meet = rows.select("key", "doc_id", "with", "block", F.explode(F.when(F.col("with"), of_with).otherwise(of_rest)).alias("x"))
+    side = F.when(F.col("with"), F.lit(-1)).otherwise(F.col("block"))
+    label = F.when(F.col("with"), F.lit(-1).cast("long")).otherwise(F.xxhash64("doc_id"))
+    meet = meet.select("key", "x.p", "x.q", side.alias("side"), label.alias("label"), "doc_id")
+    meet = meet.join(reps.select("doc_id", "regs"), "doc_id").select("key", "p", "q", "side", "label", "doc_id", "regs")
     # A fixed number of tasks: comparing costs far more than the few bytes that AQE would size tasks by.
     tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
-    return rows.mapInArrow(_pairs_of_sorted, "a long, b long").distinct()
+    return meet.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_pairs_of_sorted, "a long, b long").distinct()
 
 
 def jaccard_of_texts(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -229,8 +255,11 @@ def jaccard_of_texts(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose texts reach the threshold, with the exact similarity. Texts are shuffled once by doc_id."""
+    """Pairs whose texts reach the threshold, with the exact similarity. Texts in no pair aren't moved."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if ends.count() <= BROADCAST_IDS:  # else every text is shuffled for the two joins
+        texts = texts.join(F.broadcast(ends), "doc_id", "left_semi")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -275,24 +304,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone. Texts compare by their lower-cased words: two texts of the same words
     in the same order are copies whatever their punctuation. Rows with a null
     doc_id or text, and texts without a word, are in no group. Rows that repeat
-    a doc_id count as one document (of any of its texts that matches). An empty
-    table gives no row. Other columns are ignored, whatever their names.
+    a doc_id count as one document (of any of its texts that matches). Texts of
+    any length are read entire; texts that just reach the threshold belong
+    together. An empty table gives no row. Other columns are ignored, whatever
+    their names.
     """
     sk = materialize(sketches(docs), "sketches")
     rep = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     exact = sk.select("doc_id", "h1", "h2").join(rep.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     exact = materialize(exact.distinct(), "copies")
     reps = sk.join(exact.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id", "h1", "h2"])
-    near = verify(materialize(candidates(reps), "pairs"), docs).select("a", "b")
-    groups = components(exact.union(near))
+    buckets = members(reps)
+    star = buckets.where("doc_id <> pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+    near = materialize(verify(materialize(likely(star, reps), "pairs"), docs).select("a", "b").distinct(), "near")
+    rest = verify(materialize(beyond_pivots(buckets, near, reps).join(near, ["a", "b"], "left_anti"), "pairs"), docs).select("a", "b")
+    groups = components(exact.union(near).union(rest))
     return groups.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` less all but the first document of each near-duplicate group, with all columns.
 
-    Rows in no group stay, null ids and texts included. Rows that repeat the
-    doc_id and text of a kept row are copies too: one stays.
+    Rows in no group stay, null and empty texts and null ids included. Rows that
+    repeat the doc_id and text of a kept row are copies too: one stays. An empty
+    table stays empty; columns may have any names.
     """
     gone = near_duplicates(docs).where("not keep").select(F.col("doc_id").alias("__gone"))
     rest = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
