@@ -1,15 +1,13 @@
 """Licence scan by canonical digest lookup.
 
-A text is normalised (case, copyright lines, punctuation, equivalent spellings)
-and its SHA-256 digest is joined to the digests of known licences and notices.
-Units are the whole text, its blocks between blank lines, and its lines; each
-is looked up entire, never searched for fragments. Everything is built-in
-expressions, so there is no shuffle and no Python; the table of known digests
-is small and fixed (``known``), and is broadcast only below ``BROADCAST_ROWS``.
-
-Every known canonical text holds one of a few stems (``STEMS``, checked when
-the table is made), and normalising never makes a stem out of anything else. A
-unit without a stem can't be equal to a known text, so it isn't normalised.
+A text is normalised once (case, copyright lines, punctuation, equivalent
+spellings), with its line ends and blank lines kept as marks, and cut into
+units: the whole text, its blocks between blank lines, and its lines. The
+SHA-256 digest of each unit's normal form is joined to the digests of known
+licences and notices; units are looked up entire, never searched for fragments.
+Everything is built-in expressions, so there is no shuffle and no Python; the
+table of known digests is small and fixed (``known``), and is broadcast only
+below ``BROADCAST_ROWS``; a caller's own table takes the same way.
 """
 
 from __future__ import annotations
@@ -21,14 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+#: Marks of a line that was a copyright line, and of a blank line, within a text.
+DROPPED, BLANK = "\x01", "\x02"
 
-#: (pattern, Java replacement) in order, applied to lower-case text; the dialect is common to Java, RE2 and Python.
+#: (pattern, Java replacement) in order, applied to lower-case text without marks; the dialect is common to Java, RE2
+#: and Python. Line ends stay, so that units can be cut afterwards; what spans them keeps them.
 STEPS: list[tuple[str, str]] = [
-    (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©|<year>|\[year\])[^\n]*", "\n"),
-    (r"[^a-z0-9]+", " "),
-    (r"\ball rights reserved\b", ""),
+    (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©|<year>|\[year\])[^\n]*", "$1" + DROPPED),
+    (r"\n[ \t\r]*\n", "\n" + BLANK + "\n"),
+    (r"[^a-z0-9\n\x02]+", " "),
+    (r"\ball([ \n]+)rights([ \n]+)reserved\b", "$1$2"),
     (r"\bhttps\b", "http"),
-    (r"\bv(ersion|er)? ?([0-9])", "version $2"),
+    (r"\bv(ersion|er)?([ \n]*)([0-9])", "version$2 $3"),
     (r"licenc", "licens"),
     (r"is(e|ed|es|ing|ation|ations)\b", "iz$1"),
     (r"our(s|ed|able)?\b", "or$1"),
@@ -36,37 +38,51 @@ STEPS: list[tuple[str, str]] = [
     (r"\bwhilst\b", "while"),
     (r"\b(wil|fulfil)(ful|led|ling|s)?\b", "$1l$2"),
     (r"\b(owners?|holders)\b", "holder"),
-    (r"\bnon commercial\b", "noncommercial"),
-    (r" +", " "),
+    (r"\bnon([ \n]+)commercial\b", "$1noncommercial"),
 ]
 
 
-#: Stems of canonical texts, and how they stand in a lower-case text before it is normalised.
-STEMS = {"licens": "licen", "permission": "permission", "redistribution": "redistribution", "warrant": "warrant", "mit": "mit", "apache": "apache", "gpl": "gpl", "mpl": "mpl", "cc": "cc", "bsd": "bsd", "domain": "domain"}
+def normal_text(text: str) -> str:
+    """The normal form of a text with its marks, in Python, for known texts and tests."""
+    t = text.lower().replace(DROPPED, " ").replace(BLANK, " ")
+    for p, r in STEPS:
+        t = re.sub(p, lambda m, r=r: re.sub(r"\$(\d)", lambda d: m[int(d[1])] or "", r), t)
+    return t
 
 
 def canonical_text(text: str) -> str:
-    """The normal form in Python, for known texts and tests."""
-    t = text.lower()
-    for p, r in STEPS:
-        t = re.sub(p, lambda m, r=r: re.sub(r"\$(\d)", lambda d: m[int(d[1])] or "", r), t)
-    return t.strip(" ")
+    """The normal form of a text as a unit."""
+    return re.sub("[ \n\x02]+", " ", normal_text(text)).strip(" ")
 
 
-def canonical(c: Column) -> Column:
-    """The normal form as an expression."""
-    t = F.lower(c)
+def normal(c: Column) -> Column:
+    """The normal form with its marks as an expression."""
+    t = F.translate(F.lower(c), DROPPED + BLANK, "  ")
     for p, r in STEPS:
         t = F.regexp_replace(t, p, r)
-    return F.trim(t)
+    return t
+
+
+def flat(c: Column) -> Column:
+    """A part of a normal form as a unit."""
+    return F.trim(F.regexp_replace(c, r"[ \n\x02]+", " "))
+
 
+def _sql_string(s: str) -> str:
+    """A string as SQL; control characters by number."""
+    parts = re.split(r"([\x00-\x1f])", s)
+    return "(" + " || ".join(f"chr({ord(x)})" if len(x) == 1 and x < " " else "'" + x.replace("'", "''") + "'" for x in parts if x) + ")"
 
-def canonical_sql(c: str) -> str:
-    t = f"lower({c})"
+
+def normal_sql(c: str) -> str:
+    t = f"translate(lower({c}), chr(1) || chr(2), '  ')"
     for p, r in STEPS:
-        r = re.sub(r"\$(\d)", r"\\\1", r)
-        t = f"regexp_replace({t}, '{p}', {'chr(10)' if r == chr(10) else repr(r) if chr(92) not in r else chr(39) + r + chr(39)}, 'g')"
-    return f"trim({t}, ' ')"
+        t = f"regexp_replace({t}, '{p}', {_sql_string(re.sub(r'[$](\d)', r'\\\1', r))}, 'g')"
+    return t
+
+
+def flat_sql(c: str) -> str:
+    return f"trim(regexp_replace({c}, '[ \\n\\x02]+', ' ', 'g'), ' ')"
 
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -190,48 +206,39 @@ def known() -> list[tuple[str, str]]:
                 texts.setdefault(canonical_text(n), lic)
                 texts.setdefault(canonical_text("The " + n), lic)
     texts.pop("", None)
-    without = [t for t in texts if not any(x in t for x in STEMS)]
-    if without:
-        raise ValueError(f"no stem in {without[0]!r}")
     return sorted([*((hashlib.sha256(t.encode()).hexdigest(), lic) for t, lic in texts.items()), *((d, lic) for lic, ds in FULL_DIGESTS.items() for d in ds)])
 
 
-def may_be_known(c: Column) -> Column:
-    """Whether a text holds a stem of the known ones."""
-    low, out = F.lower(c), F.lit(False)
-    for raw in STEMS.values():
-        out = out | low.contains(raw)
-    return out
-
-
 def scan(docs: DataFrame, digests: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """doc_id, unit, unit_no, license_id, digest: the units of each row that are a known text.
 
     unit is ``text`` (the whole text, unit_no 0), ``block`` (between blank
     lines) or ``line``, numbered from 0; blocks and lines are units where there
     is more than one. Null texts have no unit; a unit with no letter or digit
-    matches nothing; a null doc_id stays null; repeated rows repeat their
-    results. Other columns are ignored, whatever their names. ``digests`` adds a
-    caller's own table (digest, license_id); it may be a DataFrame of any size.
+    (an empty text, say) matches nothing; a null doc_id stays null; repeated
+    rows repeat their results; an empty table gives no row; texts of any length
+    are read entire. Other columns are ignored, whatever their names.
+    ``digests`` is a caller's own table (digest, license_id) in place of
+    ``known()``; it may be a DataFrame of any size. Of a digest with several
+    licences the first one by name counts.
     """
     spark = docs.sparkSession
     if isinstance(digests, DataFrame):
-        table, small = digests.select("digest", "license_id").dropDuplicates(["digest"]), False
+        table, small = digests.select("digest", "license_id"), False
     else:
         rows = known() if digests is None else digests
-        table, small = spark.createDataFrame(rows, "digest string, license_id string").dropDuplicates(["digest"]).coalesce(1), len(rows) <= BROADCAST_ROWS
-    lines, blocks = F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n")
-    one = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), F.col("text").alias("u")))
+        table, small = spark.createDataFrame(rows, "digest string, license_id string").coalesce(1), len(rows) <= BROADCAST_ROWS
+    table = table.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    none = F.array().cast("array<struct<unit: string, unit_no: int, u: string>>")
 
     def many(parts: Column, name: str) -> Column:
-        units = F.transform(parts, lambda u, i: F.struct(F.lit(name).alias("unit"), i.alias("unit_no"), u.alias("u")))
-        return F.when(F.size(parts) > 1, units).otherwise(F.filter(one, lambda x: F.lit(False)))
-
-    # A caller's own digests may be of any text, so then every unit is normalised.
-    maybe = may_be_known if digests is None else lambda c: F.lit(True)
-    base = docs.where("text is not null").where(maybe(F.col("text").cast("string"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = base.select("doc_id", F.explode(F.filter(F.concat(one, many(blocks, "block"), many(lines, "line")), lambda x: maybe(x.u))).alias("x")).select("doc_id", "x.unit", "x.unit_no", canonical(F.col("x.u")).alias("canon"))
-    units = units.select("doc_id", "unit", "unit_no", F.sha2("canon", 256).alias("digest"))
+        return F.when(F.size(parts) > 1, F.transform(parts, lambda u, i: F.struct(F.lit(name).alias("unit"), i.alias("unit_no"), u.alias("u")))).otherwise(none)
+
+    # A range of one value keeps the optimizer from copying the normal form into each of its uses.
+    base = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(normal(F.col("text").cast("string")))).alias("text"))
+    whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), F.col("text").alias("u")))
+    units = base.select("doc_id", F.explode(F.concat(whole, many(F.split("text", f"\n{BLANK}\n"), "block"), many(F.split("text", "\n"), "line"))).alias("x"))
+    units = units.select("doc_id", "x.unit", "x.unit_no", F.sha2(flat(F.col("x.u")), 256).alias("digest"))
     return units.join(F.broadcast(table) if small else table, "digest").select("doc_id", "unit", "unit_no", "license_id", "digest")
 
 
@@ -244,15 +251,14 @@ def oracle() -> str:
     values = ", ".join(f"('{d}', '{lic}')" for d, lic in known())
     return f"""
 WITH known(digest, license_id) AS (VALUES {values}),
-parts AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS l, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS b
-  FROM documents WHERE text IS NOT NULL),
+normal AS MATERIALIZED (SELECT doc_id, {normal_sql('text')} AS text FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, string_split(text, chr(10) || chr(2) || chr(10)) AS b FROM normal),
 units AS (
   SELECT doc_id, 'text' AS unit, 0 AS unit_no, text AS u FROM parts
   UNION ALL
   SELECT doc_id, 'block', unnest(range(len(b)))::INTEGER, unnest(b) FROM parts WHERE len(b) > 1
   UNION ALL
   SELECT doc_id, 'line', unnest(range(len(l)))::INTEGER, unnest(l) FROM parts WHERE len(l) > 1),
-hashed AS (SELECT doc_id, unit, unit_no::INTEGER AS unit_no, sha256({canonical_sql('u')}) AS digest FROM units)
+hashed AS (SELECT doc_id, unit, unit_no::INTEGER AS unit_no, sha256({flat_sql('u')}) AS digest FROM units)
 SELECT doc_id, unit, unit_no, license_id, digest FROM hashed JOIN known USING (digest)
 """
