@@ -1,8 +1,8 @@
 """Chunking of sources by bytes, at the boundaries that the syntax offers.
 
 Where to cut is a sequential fold, so it runs in the worker beside the parse,
-one document at a time; everything about the chunks (content, lines, node kinds,
-names) is expressions over the node array.
+one document at a time; what is in the chunks (lines, node kinds, names,
+comments) is gathered in one sweep over the nodes there too.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intel import comment_kind, text_of
-from .nodes import slice_text, trees
+from .nodes import slice_raw, trees
 
-DEFINITIONS = (
-    "class_declaration class_definition enum_declaration enum_item function_declaration function_definition function_item impl_item method_declaration method_definition struct_definition struct_item trait_item"
-).split()
+DEFINITIONS = frozenset(
+    "class_declaration class_definition enum_declaration enum_item function_declaration function_definition function_item impl_item method_declaration method_definition struct_definition struct_item trait_item".split()
+)
+NOTES = frozenset(("comment", "line_comment", "block_comment"))
 
 
 def split_at_bytes(text: bytes, lo: int, hi: int, most: int) -> list[tuple[int, int]]:
@@ -109,9 +109,59 @@ def starts_by_depth(c: dict[str, list]) -> dict[int, list[int]]:
     return by
 
 
+def described(c: dict[str, list], raw: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
+    """Ranges with their lines, and what the nodes (with links) that overlap or lie within each of them tell."""
+    out, line, at = [], 0, 0
+    for a, b in ranges:
+        inner = raw.count(b"\n", a, b)
+        line += raw.count(b"\n", at, a)
+        out.append({"start_byte": a, "end_byte": b, "start_line": line, "end_line": line + inner, "node_types": [], "context_path": [], "symbols_defined": [], "comments": [], "has_error_nodes": False})
+        line, at = line + inner, b
+    ends = [b for _, b in ranges]
+    kind, start, end, parent, last = c["kind"], c["start_byte"], c["end_byte"], c["parent_id"], c["last_desc_id"]
+    text = lambda i: raw[start[i] : end[i]].decode("utf-8", "replace")
+
+    def name_of(i: int) -> int | None:
+        if c["name_id"][i] is not None:
+            return c["name_id"][i]
+        fields: dict[str, int] = {}
+        j = i + 1
+        while j <= last[i]:
+            fields.setdefault(c["field_name"][j], j)
+            j = last[j] + 1
+        return fields.get("declarator", fields.get("binding"))
+
+    for i in range(len(kind)):
+        bad, top = c["is_error"][i] or c["is_missing"][i], c["depth"][i] <= 1
+        defined, note = kind[i] in DEFINITIONS, kind[i] in NOTES
+        if not (bad or top or defined or note):
+            continue
+        name = name_of(i) if defined else None
+        k = bisect_right(ends, start[i])
+        while k < len(out) and out[k]["start_byte"] < end[i]:
+            r = out[k]
+            k += 1
+            within = r["start_byte"] <= start[i] and end[i] <= r["end_byte"]
+            if top and within and kind[i] not in r["node_types"]:
+                r["node_types"].append(kind[i])
+            if bad:
+                r["has_error_nodes"] = True
+            if name is not None:
+                r["symbols_defined"].append(text(name))
+                if start[i] < r["start_byte"]:
+                    r["context_path"].append(text(name))
+            if note and within:
+                t = text(i)
+                after = c["next_named_id"][i]
+                what = "Block" if kind[i] == "block_comment" else "Doc" if t.startswith(("///", "//!", "/**", "/*!")) else "Line"
+                where = dict(zip(("start_byte", "end_byte", "start_line", "start_column", "end_line", "end_column"), (c[f][i] for f in ("start_byte", "end_byte", "start_row", "start_col", "end_row", "end_col"))))
+                r["comments"].append({"text": t, "kind": what, "span": where, "associated_node": None if after is None else kind[after]})
+    return out
+
+
 def chunk_ranges(sources: DataFrame, most: int) -> DataFrame:
-    """Trees with the byte ranges of their chunks."""
-    return trees(sources, chunk_max_size=most)
+    """doc_id, language, raw, text, ranges: sources with their chunks' byte ranges and what is in them."""
+    return trees(sources, chunk_max_size=most, want_nodes=False).drop("nodes", "sexp", "extractions")
 
 
 def chunk_plain(sources: DataFrame, most: int) -> DataFrame:
@@ -125,40 +175,16 @@ def chunk_plain(sources: DataFrame, most: int) -> DataFrame:
     return sources.select("doc_id", F.posexplode(cut(F.col("text").cast("string"))).alias("chunk_index", "r")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "r.start_byte", "r.end_byte")
 
 
-def newlines_before(text: Column | str, byte: Column) -> Column:
-    """Line feeds strictly before a byte: one less than the pieces they part."""
-    raw = F.encode(F.col(text) if isinstance(text, str) else text, "UTF-8")
-    head = raw.substr(F.lit(1), byte.cast("int")).cast("string")
-    return (F.octet_length(head) - F.octet_length(F.replace(head, F.lit("\n"), F.lit("")))).cast("long")
-
-
 def chunks(with_ranges: DataFrame) -> Column:
-    """The chunk structs of a row of ``chunk_ranges``."""
+    """The chunk structs of a row of ``chunk_ranges``, or of trees with ranges."""
     total = F.size("ranges").cast("long")
 
-    def over(n: Column, r: Column) -> Column:
-        return (n.end_byte > r.start_byte) & (n.start_byte < r.end_byte)
-
-    def within(n: Column, r: Column) -> Column:
-        return (n.start_byte >= r.start_byte) & (n.end_byte <= r.end_byte)
-
-    def field_text(n: Column) -> Column:
-        ids = [F.filter("nodes", lambda k, f=f: (k.parent_id == n.node_id) & (k.field_name == f)) for f in ("declarator", "binding")]
-        return F.coalesce(F.when(n.name_id.isNotNull(), text_of(F.get("nodes", n.name_id.cast("int")))), *(text_of(F.get(x, F.lit(0))) for x in ids))
-
     def chunk(r: Column, i: Column) -> Column:
-        defs = F.filter("nodes", lambda n: n.kind.isin(*DEFINITIONS) & over(n, r))
-        notes = F.filter("nodes", lambda n: n.kind.isin("comment", "line_comment", "block_comment") & within(n, r))
         meta = F.struct(
-            F.col("language").alias("language"), i.cast("long").alias("chunk_index"), total.alias("total_chunks"),
-            F.array_distinct(F.transform(F.filter("nodes", lambda n: (n.depth <= 1) & within(n, r)), lambda n: n.kind)).alias("node_types"),
-            F.filter(F.transform(F.filter(defs, lambda n: n.start_byte < r.start_byte), field_text), lambda x: x.isNotNull()).alias("context_path"),
-            F.filter(F.transform(defs, field_text), lambda x: x.isNotNull()).alias("symbols_defined"),
-            F.transform(notes, lambda n: F.struct(text_of(n).alias("text"), comment_kind(n.kind, text_of(n), hashes=False).alias("kind"))).alias("comments"),
-            F.array().cast("array<string>").alias("docstrings"),
-            F.exists("nodes", lambda n: (n.is_error | n.is_missing) & over(n, r)).alias("has_error_nodes"),
+            F.col("language").alias("language"), i.cast("long").alias("chunk_index"), total.alias("total_chunks"), r.node_types.alias("node_types"), r.context_path.alias("context_path"), r.symbols_defined.alias("symbols_defined"),
+            r.comments.alias("comments"), F.array().cast("array<string>").alias("docstrings"), r.has_error_nodes.alias("has_error_nodes"),
         )
-        return F.struct(slice_text("text", r.start_byte, r.end_byte).alias("content"), r.start_byte.alias("start_byte"), r.end_byte.alias("end_byte"), newlines_before("text", r.start_byte).alias("start_line"), newlines_before("text", r.end_byte).alias("end_line"), meta.alias("metadata"))
+        return F.struct(slice_raw(r.start_byte, r.end_byte).alias("content"), r.start_byte.alias("start_byte"), r.end_byte.alias("end_byte"), r.start_line.alias("start_line"), r.end_line.alias("end_line"), meta.alias("metadata"))
 
     return F.transform("ranges", chunk)
 

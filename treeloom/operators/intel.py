@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions.lines import line_metrics
 
-from .nodes import STRUCTURE, slice_text
+from .nodes import STRUCTURE, slice_raw
 
 _JS = ("javascript", "typescript", "tsx")
 IMPORTS: dict[str, tuple[str, ...]] = {
@@ -39,7 +39,7 @@ def _node(i: Column) -> Column:
 
 
 def text_of(n: Column) -> Column:
-    return slice_text("text", n["start_byte"], n["end_byte"])
+    return slice_raw(n["start_byte"], n["end_byte"])
 
 
 def span(n: Column) -> Column:

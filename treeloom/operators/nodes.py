@@ -148,45 +148,98 @@ def nodes(sources: DataFrame, kinds: Collection[str] | None = None, text_kinds:
     ``parse_errors``.
     """
     keep, texts = frozenset(kinds) if kinds is not None else None, frozenset(text_kinds)
+    small_batches(sources.sparkSession)
+    added = dict(R._ADDED)
+    fields = S.TREE_FIELDS
 
-    def rows(d, lang, raw, c):
-        kind = c["kind"]
-        cols = [c[x] for x in _NAMES]
-        for i in range(len(kind)):
-            if keep is None or kind[i] in keep:
-                yield (d, lang, *(x[i] for x in cols), raw[c["start_byte"][i] : c["end_byte"][i]] if kind[i] in texts else None)
-
-    arrow = [("doc_id", pa.int64()), ("language", pa.string()), *((n, _TYPES[t]) for n, t in S.TREE_FIELDS), ("text", pa.binary())]
-    return parsed(sources, S.NODES, rows, arrow)
+    def run(batches):
+        known = {**_parsers(), **added}
 
+        def batch():
+            arrays = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *(pa.array(cols[n], _TYPES[t]) for n, t in fields), pa.array(slices, pa.binary()) if texts else pa.nulls(len(ids), pa.binary())]
+            return pa.record_batch(arrays, ["doc_id", "language", *_NAMES, "text"])
 
-def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | None = None, extractions: dict | None = None) -> DataFrame:
-    """doc_id, language, text, nodes, sexp, ranges, extractions: each source with its nodes and their links as one array.
+        for b in batches:
+            ids, langs, slices, cols = [], [], [], {n: [] for n in _NAMES}
+            for d, lang, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                raw = text.encode()
+                c = parse_one(lang, raw, known)
+                on = None if keep is None else [i for i, k in enumerate(c["kind"]) if k in keep]
+                if on is not None:
+                    c = {n: [x[i] for i in on] for n, x in c.items()}
+                for n in _NAMES:
+                    cols[n] += c[n]
+                if texts:
+                    slices += [raw[a:z] if k in texts else None for k, a, z in zip(c["kind"], c["start_byte"], c["end_byte"])]
+                ids += [d] * len(c["kind"])
+                langs += [lang] * len(c["kind"])
+                if len(ids) > 50_000:
+                    yield batch()
+                    ids, langs, slices, cols = [], [], [], {n: [] for n in _NAMES}
+            yield batch()
+
+    return normal(sources).where("error is null").select("doc_id", "language", "text").mapInArrow(run, S.NODES)
+
+
+RANGE = pa.struct([
+    ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("node_types", pa.list_(pa.string())), ("context_path", pa.list_(pa.string())), ("symbols_defined", pa.list_(pa.string())),
+    ("comments", pa.list_(pa.struct([("text", pa.string()), ("kind", pa.string()), ("span", pa.struct([(n, pa.int64()) for n in ("start_byte", "end_byte", "start_line", "start_column", "end_line", "end_column")])), ("associated_node", pa.string())]))),
+    ("has_error_nodes", pa.bool_()),
+])
+
+
+def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | None = None, extractions: dict | None = None, want_nodes: bool = True) -> DataFrame:
+    """doc_id, language, raw, text, nodes, sexp, ranges, extractions: each source with its nodes and their links as one array.
 
     What is local to a document can then be asked with higher-order functions
-    and never needs a join or a shuffle. The last three columns are null unless
-    asked for: the S-expression, the byte ranges of chunks, and the results of
-    compiled patterns by name. All come from the one parse.
+    and never needs a join or a shuffle; ``raw`` has the text's bytes, which
+    slices are taken from. The last three columns are null unless asked for: the
+    S-expression, the byte ranges of chunks with what is in them, and the
+    results of compiled patterns by name. All come from the one parse, and
+    leave it as Arrow columns; nodes don't leave it where they aren't wanted.
     """
     from . import chunk, extract
 
+    small_batches(sources.sparkSession)
     fields = [*S.TREE_FIELDS, *LINKS]
-    struct = pa.struct([(n, _TYPES[t]) for n, t in fields])
+    added = dict(R._ADDED)
+    result = pa.map_(pa.string(), pa.struct([("matches", extract.MATCH), ("total_count", pa.int64())]))
 
-    def rows(d, lang, raw, c):
-        both = {**c, **links(c)}
-        arr = pa.StructArray.from_arrays([pa.array(both[n], _TYPES[t]) for n, t in fields], [n for n, _ in fields])
-        ranges = found = None
-        if chunk_max_size is not None:
-            ranges = [{"start_byte": x, "end_byte": y} for x, y in chunk.split_code(raw, chunk.starts_by_depth(c), chunk_max_size)]
-        if extractions is not None:
-            found = [(name, {"matches": m, "total_count": total}) for name, total, m in extract.extract_one(extractions, c, raw)]
-        yield d, lang, raw.decode(), arr.to_pylist(), sexp(c) if want_sexp else None, ranges, found
+    def run(batches):
+        known = {**_parsers(), **added}
 
-    arrow = [("doc_id", pa.int64()), ("language", pa.string()), ("text", pa.string()), ("nodes", pa.list_(struct)), ("sexp", pa.string())]
-    arrow += [("ranges", pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64())]))), ("extractions", pa.map_(pa.string(), pa.struct([("matches", extract.MATCH), ("total_count", pa.int64())])))]
-    schema = f"doc_id bigint, language string, text string, nodes array<{TREE_NODE}>, sexp string, ranges array<struct<start_byte:bigint,end_byte:bigint>>, extractions map<string,struct<matches:{extract.MATCHES},total_count:bigint>>"
-    return parsed(sources, schema, rows, arrow)
+        def batch():
+            arrays = [pa.array(cols[n], _TYPES[t]) for n, t in fields]
+            tree = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, [n for n, _ in fields])) if want_nodes else pa.nulls(len(ids), pa.list_(pa.struct([(n, _TYPES[t]) for n, t in fields])))
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(raws, pa.binary()), tree, pa.array(sexps, pa.string()), pa.array(ranges, pa.list_(RANGE)), pa.array(found, result)], ["doc_id", "language", "raw", "nodes", "sexp", "ranges", "extractions"])
+
+        for b in batches:
+            ids, langs, raws, sexps, ranges, found, ends, cols = [], [], [], [], [], [], [0], {n: [] for n, _ in fields}
+            for d, lang, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                raw = text.encode()
+                c = parse_one(lang, raw, known)
+                if want_nodes or chunk_max_size is not None:
+                    c = {**c, **links(c)}
+                if want_nodes:
+                    for n, _ in fields:
+                        cols[n] += c[n]
+                ids.append(d)
+                langs.append(lang)
+                raws.append(raw)
+                ends.append(len(cols["kind"]))
+                sexps.append(sexp(c) if want_sexp else None)
+                ranges.append(chunk.described(c, raw, chunk.split_code(raw, chunk.starts_by_depth(c), chunk_max_size)) if chunk_max_size is not None else None)
+                found.append([(name, {"matches": m, "total_count": total}) for name, total, m in extract.extract_one(extractions, c, raw)] if extractions is not None else None)
+                if ends[-1] > 50_000:
+                    yield batch()
+                    ids, langs, raws, sexps, ranges, found, ends, cols = [], [], [], [], [], [], [0], {n: [] for n, _ in fields}
+            yield batch()
+
+    span = "struct<start_byte:bigint,end_byte:bigint,start_line:bigint,start_column:bigint,end_line:bigint,end_column:bigint>"
+    ranges_ = f"array<struct<start_byte:bigint,end_byte:bigint,start_line:bigint,end_line:bigint,node_types:array<string>,context_path:array<string>,symbols_defined:array<string>,comments:array<struct<text:string,kind:string,span:{span},associated_node:string>>,has_error_nodes:boolean>>"
+    schema = f"doc_id bigint, language string, raw binary, nodes array<{TREE_NODE}>, sexp string, ranges {ranges_}, extractions map<string,struct<matches:{extract.MATCHES},total_count:bigint>>"
+    out = normal(sources).where("error is null").select("doc_id", "language", "text").mapInArrow(run, schema)
+    return out.select("doc_id", "language", "raw", F.col("raw").cast("string").alias("text"), "nodes", "sexp", "ranges", "extractions")
 
 
 def parse_errors(sources: DataFrame) -> DataFrame:
@@ -202,6 +255,13 @@ def slice_text(text: Column | str, start: Column, end: Column) -> Column:
     return F.when(ok & F.is_valid_utf8(part.cast("string")), part.cast("string"))
 
 
+def slice_raw(start: Column, end: Column) -> Column:
+    """The same of a tree's ``raw`` bytes, which needs no encoding of the whole text."""
+    part = F.col("raw").substr(start.cast("int") + 1, (end - start).cast("int"))
+    ok = (start >= 0) & (start <= end) & (end <= F.octet_length("raw"))
+    return F.when(ok & F.is_valid_utf8(part.cast("string")), part.cast("string"))
+
+
 def register_table_function(spark: SparkSession) -> None:
     """``parse_nodes(text, language)`` in SQL: one row for each node."""
     from pyspark.sql.functions import udtf

@@ -57,49 +57,75 @@ COLUMNS = ("node_id", "parent_id", "last_desc_id", "sib_idx", "named_sib_idx", "
 
 def flatten(root: Node, data: bytes) -> dict[str, list]:
     """Columns of the node table in pre-order; no recursion, so depth doesn't matter."""
-    newlines, at = [], data.find(b"\n")
+    begins = [0]
+    at = data.find(b"\n")
     while at >= 0:
-        newlines.append(at)
+        begins.append(at + 1)
         at = data.find(b"\n", at + 1)
-    begins = [0, *(x + 1 for x in newlines)]
-    out: dict[str, list] = {c: [] for c in COLUMNS}
-    last = out["last_desc_id"]
-    stack: list[tuple[Node | None, int, int, int, int]] = [(root, -1, 0, 0, 0)]
+    one_line = len(begins) == 1
+    nodes: list[Node] = []
+    parents: list[int | None] = []
+    last: list[int] = []
+    sibs: list[int] = []
+    named_sibs: list[int | None] = []
+    depths: list[int] = []
+    stack: list[tuple[Node | None, int | None, int, int, int]] = [(root, None, 0, 0, 0)]
+    pop, push = stack.pop, stack.append
     n = 0
     while stack:
-        node, parent, sib, named_sib, depth = stack.pop()
+        node, parent, sib, named_sib, depth = pop()
         if node is None:  # all of the subtree of ``parent`` is out
             last[parent] = n - 1
             continue
-        r1, r2 = bisect_right(begins, node.start) - 1, bisect_right(begins, node.end) - 1
-        row = (n, parent if parent >= 0 else None, n, sib, named_sib if node.named else None, depth, node.field, node.kind, node.named, node.start, node.end, r1, node.start - begins[r1], r2, node.end - begins[r2], sum(c.named for c in node.children), node.kind == "ERROR", node.missing)
-        for c, v in zip(COLUMNS, row):
-            out[c].append(v)
-        if node.children:
-            stack.append((None, n, 0, 0, 0))
-            named, items = 0, []
-            for k, c in enumerate(node.children):
-                items.append((c, n, k, named, depth + 1))
-                named += c.named
-            stack.extend(reversed(items))
+        nodes.append(node)
+        parents.append(parent)
+        last.append(n)
+        sibs.append(sib)
+        named_sibs.append(named_sib if node.named else None)
+        depths.append(depth)
+        children = node.children
+        if children:
+            push((None, n, 0, 0, 0))
+            depth += 1
+            if len(children) == 1:
+                push((children[0], n, 0, 0, depth))
+            else:
+                named = sum(c.named for c in children)
+                for k in range(len(children) - 1, -1, -1):
+                    c = children[k]
+                    named -= c.named
+                    push((c, n, k, named, depth))
         n += 1
-    return out
+    start, end = [x.start for x in nodes], [x.end for x in nodes]
+    if one_line:
+        r1 = r2 = [0] * n
+        c1, c2 = start, end
+    else:
+        r1, r2 = [bisect_right(begins, x) - 1 for x in start], [bisect_right(begins, x) - 1 for x in end]
+        c1, c2 = [x - begins[r] for x, r in zip(start, r1)], [x - begins[r] for x, r in zip(end, r2)]
+    kind = [x.kind for x in nodes]
+    count = [0] * n
+    for p, x in zip(parents, nodes):
+        if p is not None and x.named:
+            count[p] += 1
+    return {
+        "node_id": list(range(n)), "parent_id": parents, "last_desc_id": last, "sib_idx": sibs, "named_sib_idx": named_sibs, "depth": depths, "field_name": [x.field for x in nodes], "kind": kind, "is_named": [x.named for x in nodes],
+        "start_byte": start, "end_byte": end, "start_row": r1, "start_col": c1, "end_row": r2, "end_col": c2, "named_child_count": count, "is_error": [k == "ERROR" for k in kind], "is_missing": [x.missing for x in nodes],
+    }
 
 
 def sexp(cols: dict[str, list]) -> str:
     """S-expression of the named nodes with field labels; missing nodes show as such."""
     out: list[str] = []
     ends: list[int] = []
-    named = cols["is_named"]
-    for i in range(len(cols["kind"])):
+    for i, (named, missing, field, kind, last) in enumerate(zip(cols["is_named"], cols["is_missing"], cols["field_name"], cols["kind"], cols["last_desc_id"])):
         while ends and ends[-1] < i:
             out.append(")")
             ends.pop()
-        if not (named[i] or cols["is_missing"][i]):
+        if not (named or missing):
             continue
-        label = f"{cols['field_name'][i]}: " if cols["field_name"][i] else ""
-        kind = cols["kind"][i]
-        kind = f"MISSING {kind if named[i] else chr(34) + kind + chr(34)}" if cols["is_missing"][i] else kind
-        out.append((" " if out else "") + f"{label}({kind}")
-        ends.append(cols["last_desc_id"][i])
+        if missing:
+            kind = f"MISSING {kind}" if named else f'MISSING "{kind}"'
+        out.append(f"{' ' if out else ''}{field}: ({kind}" if field else f"{' ' if out else ''}({kind}")
+        ends.append(last)
     return "".join(out) + ")" * len(ends)

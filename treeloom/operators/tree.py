@@ -80,12 +80,12 @@ def extract_text(table: DataFrame, sources: DataFrame) -> DataFrame:
 
 def tree_to_sexp(sources: DataFrame) -> DataFrame:
     """(doc_id, sexp): S-expression of the named nodes with field labels."""
-    return trees(sources, want_sexp=True).select("doc_id", "sexp")
+    return trees(sources, want_sexp=True, want_nodes=False).select("doc_id", "sexp")
 
 
 def parse_result(sources: DataFrame, format: str = "sexp") -> DataFrame:
     """(doc_id, output): S-expressions, or JSON of language, sexp and has_errors."""
-    t = trees(sources, want_sexp=True)
+    t = trees(sources, want_sexp=True, want_nodes=format != "sexp")
     if format == "sexp":
         return t.select("doc_id", F.col("sexp").alias("output"))
     errors = F.exists("nodes", lambda n: n.is_error | n.is_missing)

@@ -218,9 +218,8 @@ _BARE = r"regexp_replace(regexp_replace(html, '<(script|style)>.*?</(script|styl
 
 @query(f"SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all({_BARE}, '<([a-z0-9]+)[ >/]', 1)) AS tag FROM pages) GROUP BY tag")
 def html_tag_counts(s, d):
-    starts = F.filter("nodes", lambda n: n.kind.isin("start_tag", "self_closing_tag"))
-    name = F.transform(starts, lambda n: intel.text_of(F.get("nodes", (n.node_id + 2).cast("int"))))  # behind the "<"
-    return trees(_pages(s, d)).select(F.explode(name).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    m = extract.extract_patterns(_pages(s, d), {"language": "html", "patterns": {"tags": {"query": "[(start_tag (tag_name) @t) (self_closing_tag (tag_name) @t)]", "capture_output": "Text"}}})
+    return m.select(F.explode("matches").alias("m")).select(F.get("m.captures", F.lit(0))["text"].alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<!--.*?-->', 0, 's')) AS text FROM pages")

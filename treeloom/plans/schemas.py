@@ -15,5 +15,5 @@ CAPTURE = f"struct<name:string,node:{NODE_INFO}>"
 CAPTURE_RESULT = f"struct<name:string,node:{NODE_INFO},text:string,child_fields:map<string,string>,start_byte:bigint>"
 CHUNK = (
     "struct<content:string,start_byte:bigint,end_byte:bigint,start_line:bigint,end_line:bigint,metadata:struct<language:string,chunk_index:bigint,total_chunks:bigint,node_types:array<string>,"
-    "context_path:array<string>,symbols_defined:array<string>,comments:array<struct<text:string,kind:string>>,docstrings:array<string>,has_error_nodes:boolean>>"
+    "context_path:array<string>,symbols_defined:array<string>,comments:array<struct<text:string,kind:string,span:" + SPAN + ",associated_node:string>>,docstrings:array<string>,has_error_nodes:boolean>>"
 )
