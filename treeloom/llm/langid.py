@@ -9,6 +9,8 @@ has the symbol, which then costs ``-log2(c / (n + d))``; the last resort is a
 uniform byte. With frozen counts that length depends on the last ``ORDER``
 bytes alone, so it is worked out once for each n-gram of the trees and looked
 up for all bytes of a batch at once; the sums are the exact code lengths.
+Texts are lower-cased first, for capitals tell the kind of a text rather than
+its language; code lengths and bytes are those of the lower-cased text.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def train(docs: DataFrame, per_language: int = 300) -> dict:
         for b in tv.batches(batches):
             langs, texts = tv.column(b, 0).to_pylist(), tv.column(b, 1)
             for i, lang in enumerate(langs):
-                data, off = tv.buffer(texts.slice(i, 1))
+                data, off = tv.buffer(texts.slice(i, 1), lower=True)
                 if len(data):
                     by.setdefault(lang, tv.Counter64()).add(_grams(data, off, ORDER + 1))
         for lang, c in by.items():
@@ -188,8 +190,9 @@ def identify(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_bits: fl
     is left has no letter, or the text is empty or null; and where the table has
     no labelled text at all. Ties go to the first language by
     name. margin_bits is the second shortest code less the shortest (null with
-    fewer than two languages). Repeated rows each get their row; other columns
-    of ``docs`` are ignored, whatever their names; a null doc_id stays null.
+    fewer than two languages). Repeated rows each get their row; texts of any
+    length are read entire; an empty table gives no row; other columns of
+    ``docs`` are ignored, whatever their names; a null doc_id stays null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -199,7 +202,7 @@ def identify(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_bits: fl
         for b in tv.batches(batches):
             ids, texts = tv.column(b, 0), tv.column(b, 1)
             for lo, hi in tv.slices(texts):
-                data, off = tv.buffer(texts.slice(lo, hi - lo))
+                data, off = tv.buffer(texts.slice(lo, hi - lo), lower=True)
                 size = np.diff(off)
                 bits, accepted = scorer.decide(data, off, max_bits, slack_bits)
                 if langs:
@@ -218,7 +221,10 @@ def identify(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_bits: fl
 def keep_identified(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_bits: float = 64.0) -> DataFrame:
     """Rows of ``docs`` whose text a model compresses, by the rule of ``identify``, with all their columns.
 
-    The test runs beside the row, so nothing is joined or shuffled.
+    Null and empty texts have no language and go, as all do where the table has
+    no labelled text; repeated rows share their fate; texts of any length are
+    judged entire; columns may have any names. The test runs beside the row, so
+    nothing is joined or shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -228,7 +234,7 @@ def keep_identified(docs: DataFrame, model: dict, max_bits: float = 5.5, slack_b
         for b in tv.batches(batches):
             texts = tv.column(b, at)
             for lo, hi in tv.slices(texts):
-                data, off = tv.buffer(texts.slice(lo, hi - lo))
+                data, off = tv.buffer(texts.slice(lo, hi - lo), lower=True)
                 _, keep = scorer.decide(data, off, max_bits, slack_bits)
                 if keep.any():
                     yield b.slice(lo, hi - lo).filter(pa.array(keep))

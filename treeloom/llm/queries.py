@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import decontam, langid, license_scan, lm_score, mpegts, neardup, packing, pii_crf, secretscan, toxicity
+from . import decontam, langid, license_scan, lm_score, mpegts, neardup, packing, pii_crf, pipeline, secretscan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.query,
@@ -21,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": neardup.query,
     "op9_language_id": langid.query,
     "op10_secret_scan": secretscan.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
