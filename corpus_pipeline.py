@@ -1,59 +1,5 @@
-"""The corpus pipeline: documents go through five stages, each written as Parquet and read again."""
+"""The corpus pipeline: STAGES, each calling one of the operators, and run(), as they stand in treeloom.llm.pipeline."""
 
-from __future__ import annotations
+from treeloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from treeloom.llm import decontam, langid, neardup, packing, secretscan
-from treeloom.llm.shared import materialize, text_batches
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a language model of the corpus's languages compresses stay."""
-    text_batches(spark)
-    return langid.keep_identified(docs, langid.train(docs))
-
-
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    text_batches(spark)
-    return neardup.drop_near_duplicates(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    text_batches(spark)
-    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts."""
-    text_batches(spark)
-    return secretscan.redact(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents take their places in training sequences."""
-    return packing.pack(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language),
-    ("near_dedup", dedup),
-    ("decontamination", decontaminate),
-    ("secret_redaction", redact),
-    ("best_fit_packing", pack),
-]
-
-#: The stages hold models and iterations that SQL can't express; tests compare them with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
