@@ -8,6 +8,7 @@ source.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from treeloom.plans import schemas as S
 
 from .parsers.base import COLUMNS, Node, flatten, sexp
 
-BATCH_ROWS = 256
+BATCH_ROWS, MOST_FRAMES = 256, 500_000
 STRUCTURE: dict[str, str] = {
     kind: what
     for what, kinds in {
@@ -65,12 +66,23 @@ def _parsers() -> dict[str, Callable[[bytes], Node]]:
 
 
 def parse_one(language: str, text: bytes, parsers: dict | None = None) -> dict[str, list]:
-    """Columns of one document's nodes; a parser that gives up yields a root that is an error."""
+    """Columns of one document's nodes.
+
+    Parsers recurse on the heap, so deep nesting is let go as deep as the text
+    can be, up to ``MOST_FRAMES``; a parser that gives up beyond yields a root
+    that is an error.
+    """
     parser = (parsers or _parsers())[language]
-    try:
-        return flatten(parser(text), text)
-    except RecursionError:
-        return flatten(Node("ERROR", 0, len(text)), text)
+    limit = sys.getrecursionlimit()
+    for frames in (limit, min(MOST_FRAMES, limit + 40 * len(text))):
+        try:
+            sys.setrecursionlimit(max(limit, frames))
+            return flatten(parser(text), text)
+        except RecursionError:
+            continue
+        finally:
+            sys.setrecursionlimit(limit)
+    return flatten(Node("ERROR", 0, len(text)), text)
 
 
 def links(c: dict[str, list]) -> dict[str, list]:

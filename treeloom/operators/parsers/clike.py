@@ -7,6 +7,7 @@ fields of the public grammars. Expressions are read without precedence.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from .base import Node, inner, place_extras
 
@@ -43,6 +44,9 @@ _LEX = {
 _BINARY = set("+ - * / % & | ^ < > == != === !== <= >= && || ?? << >> ** in instanceof as is .. ..=".split())
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _JS = ("javascript", "typescript", "tsx")
+#: What a case of a switch is called, and a default one.
+_CASES = {**{x: ("switch_case", "switch_default") for x in _JS}, "go": ("expression_case", "default_case"), "java": ("switch_block_statement_group",) * 2, "c": ("case_statement",) * 2}
+_ASSIGN = (":=", "=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "&^=")
 
 
 class _Parser:
@@ -62,7 +66,8 @@ class _Parser:
                 self.toks.append((k, t, m.start(), m.end(), new))
                 new = False
         self.toks.append(("eof", "", len(s), len(s), True))
-        self.pos = 0
+        self.pos = self.types = 0
+        self.texts: list[Node] = []  # of elements: what looks like a comment in them is none
 
     def _comment_kind(self, t: str) -> str:
         if self.lang in ("rust", "java", "kotlin"):
@@ -102,6 +107,29 @@ class _Parser:
         else:
             kids.append(Node(kind, self.here(), self.here(), field=field, missing=True))
 
+    def seek(self, at: int) -> None:
+        """Go on at a byte, lexing anew up to where the old tokens fit again."""
+        i, new, fresh = self.pos, [], False
+        known = {c.start for c in self.comments}
+        while m := _LEX[self.lang].match(self.s, at):
+            k, t, at = m.lastgroup, m[0], m.end()
+            if k in ("nl", "ws"):
+                fresh |= k == "nl"
+                continue
+            if k == "comment":
+                if m.start() not in known:
+                    self.comments.append(Node(self._comment_kind(t), m.start(), m.end() - t.endswith("\r")))
+                continue
+            while i < len(self.toks) - 1 and self.toks[i][2] < m.start():
+                i += 1
+            if self.toks[i][:3] == (k, t, m.start()):
+                break
+            new.append((k, t, m.start(), m.end(), fresh))
+            fresh = False
+        else:
+            i = len(self.toks) - 1
+        self.toks[self.pos : i] = new
+
     def fresh(self) -> bool:
         """Whether the current token begins a line."""
         return self.toks[self.pos][4]
@@ -160,6 +188,9 @@ class _Parser:
             if self.is_("(", "[", "{"):
                 kids.append(self.group("parenthesized" if self.is_("(") else "pattern"))
                 continue
+            if self.is_(":") and depth == 0 and self.lang in ("typescript", "tsx"):
+                self.type_note(kids, (",", close, "="))
+                continue
             depth += self.is_("<")
             depth -= self.is_(">") and depth > 0
             if self.is_(")", "}", "]"):
@@ -191,11 +222,13 @@ class _Parser:
                 kids.append(self.group("parenthesized_expression", "condition"))
             stop = 0
             while self.kind != "eof" and not self.is_("{", "}", ";") and stop < 200 and not (kids[-1].kind == "parenthesized_expression"):
-                kids += self.step(lambda: self.expr(("{", ";"), False))
+                kids += self.step(lambda: self.simple(("{", ";"), False))
                 if self.is_(";"):
                     kids.append(self.leaf())
                 stop += 1
-            if self.is_("{"):
+            if self.is_("{") and t == "match" and self.lang == "rust":
+                kids.append(self.braces("match_block", self.match_arm))
+            elif self.is_("{"):
                 kids.append(self.block("consequence" if t == "if" else "body"))
             elif kids[-1].kind == "parenthesized_expression" and self.kind != "eof" and not self.is_("}"):
                 kids += self.step(self.statement)
@@ -215,10 +248,21 @@ class _Parser:
                     kids.append(inner(f"{sub[0].kind}_clause", sub))
             self.end(kids) if t == "do" else None
             return inner({"match": "match_expression", "loop": "loop_expression", "when": "when_expression"}.get(t, f"{t}_statement"), kids)
+        if self.lang in _CASES and (t == "case" or t == "default" and self.peek() in (":", "->")):
+            kids = [self.leaf()]
+            if t == "case":
+                kids += self.step(lambda: self.simple((":", "->"), True) if self.lang == "go" else self.listed((":", "->"), True))
+            if self.is_("->"):
+                kids.append(self.leaf())
+                return inner("switch_rule", kids + self.step(self.statement))
+            self.need(":", kids)
+            while self.kind != "eof" and not self.is_("case", "default", "}"):
+                kids += self.step(self.statement)
+            return inner(_CASES[self.lang][t == "default"], kids)
         if t in ("return", "break", "continue", "throw", "goto", "defer", "go") and t in self.keys:
             kids = [self.leaf()]
             if not self.is_(";", "}") and self.kind != "eof" and not self.fresh():
-                kids += self.step(lambda: self.expr((";",), False))
+                kids += self.step(lambda: self.listed((";",), False) if self.lang == "go" else self.expr((";",), False))
             self.end(kids)
             return inner(f"{t}_statement", kids)
         return None
@@ -227,13 +271,59 @@ class _Parser:
         if self.is_("}", ")", "]") or self.kind == "eof":
             return None
         before = self.pos
-        e = self.expr((";",), False)
+        e = self.simple((";",), False)
         if e is None or self.pos == before:
             return None
         kids = [e]
         self.end(kids)
         return inner("expression_statement", kids)
 
+    def listed(self, stops: tuple[str, ...], multiline: bool) -> Node | None:
+        """Expressions with commas between them."""
+        kids: list[Node] = []
+        while (e := self.expr(stops, multiline)) is not None:
+            kids.append(e)
+            if not self.is_(","):
+                break
+            kids.append(self.leaf())
+        return inner("expression_list", kids) if kids else None
+
+    def simple(self, stops: tuple[str, ...], multiline: bool) -> Node | None:
+        """A statement's expression; in Go it may be a list, or assign one to another."""
+        if self.lang != "go":
+            return self.expr(stops, multiline)
+        left = self.listed((*stops, *_ASSIGN), multiline)
+        if left is not None and self.is_(*_ASSIGN):
+            what = "short_var_declaration" if self.is_(":=") else "assignment_statement"
+            kids = [left.at("left"), self.leaf()]
+            right = self.listed(stops, multiline)
+            return inner(what, kids + ([right.at("right")] if right else []))
+        return left.children[0] if left is not None and len(left.children) == 1 else left
+
+    def match_arm(self) -> Node | None:
+        kids: list[Node] = []
+        while self.is_("#"):
+            kids.append(inner("attribute_item", [self.leaf(), *([self.group("attribute")] if self.is_("[") else [])]))
+        pattern: list[Node] = []
+        while self.kind != "eof" and not self.is_("=>", "}"):
+            if self.is_("(", "[", "{"):
+                pattern.append(self.group("pattern"))
+            elif self.is_(")", "]"):
+                return None
+            else:
+                pattern.append(self.primary() or self.leaf())
+        if not pattern:
+            return None
+        kids.append(inner("match_pattern", pattern, "pattern"))
+        self.need("=>", kids)
+        if self.is_("{"):
+            kids.append(self.block(None).at("value"))
+        else:
+            kids += [x.at("value") for x in self.step(lambda: self.expr((",",), True))]
+        if self.is_(","):
+            kids.append(self.leaf())
+        return inner("match_arm", kids)
+
     # -- expressions
 
     def string(self) -> Node:
@@ -314,7 +404,7 @@ class _Parser:
             elif t in ("++", "--", "!", "?"):
                 left = inner("update_expression", [left, self.leaf()])
             elif t == ":":
-                if self.lang in _JS and not left.kind == "identifier":
+                if self.lang == "javascript" and not left.kind == "identifier":
                     break
                 kids = [left, self.leaf()]
                 kids += self.step(lambda: self.expr(stops, multiline))
@@ -334,6 +424,17 @@ class _Parser:
         if self.kind == "eof" or self.is_(*stops) or t in (")", "]", "}", ",", ";"):
             return None
         js = self.lang in _JS
+        if t == "<" and not self.types and (self.lang == "typescript" or self.lang == "tsx" and self.peek(2) in (",", "extends")):
+            kids = []
+            self.skip_generics(kids)
+            if not (self.is_("(") and self._arrow_ahead()):
+                rest = self.operand(stops)
+                return inner("type_assertion", kids + ([rest] if rest else []))
+            kids.append(self.group("formal_parameters", "parameters", "required_parameter"))
+            self.type_note(kids, ("=>",), "return_type")
+            return self.arrow(kids, stops)
+        if t == "<" and self.lang in ("javascript", "tsx") and not self.types and (self.toks[self.pos + 1][0] == "name" or self.peek() == ">"):
+            return self.postfix(self.element(), stops)
         if js and (t == "function" or t == "async" and self.peek() == "function"):
             return self.js_function("function_expression", [])
         if js and t == "class":
@@ -346,7 +447,17 @@ class _Parser:
             kids: list[Node] = []
             self.ident(kids, field="parameter")
             return self.arrow(kids, stops)
-        if t in ("-", "+", "!", "~", "&", "*", "++", "--", "typeof", "await", "new", "delete", "void", "yield", "ref", "mut", "move", "dyn", "...", "..", "throw", "@", "#", "&&", "static", "const", "async", "in", "as", "case", "default", "func", "fun", "struct", "interface", "map", "chan", "enum", "where", "crate", "sizeof", "object", "range", "=>", "->", "::", "<", "is", "of", "let", "val", "var"):
+        if self.lang == "rust" and t in ("|", "||"):
+            kids = [self.leaf()]
+            if t == "|":
+                while self.kind != "eof" and not self.is_("|", "}", ";"):
+                    kids.append(self.group("pattern") if self.is_("(", "[") else self.primary() or self.leaf())
+                self.need("|", kids)
+            if self.is_("->"):
+                self.until(kids, ("{",), "return_type")
+            body = self.block(None) if self.is_("{") else self.expr(stops, True)
+            return inner("closure_expression", kids + ([body.at("body")] if body else []))
+        if t in ("-", "+", "!", "~", "&", "*", "**", "++", "--", "typeof", "await", "new", "delete", "void", "yield", "ref", "mut", "move", "dyn", "...", "..", "throw", "@", "#", "&&", "static", "const", "async", "in", "as", "case", "default", "func", "fun", "struct", "interface", "map", "chan", "enum", "where", "crate", "sizeof", "object", "range", "=>", "->", "::", "<", "is", "of", "let", "val", "var"):
             op = self.leaf()
             if t == "func" and self.is_("("):
                 kids = [op, self.group("parameter_list", "parameters", "parameter_declaration")]
@@ -381,6 +492,18 @@ class _Parser:
                 kids = [node.at("object"), self.leaf()]
                 self.ident(kids, "property_identifier" if js else "field_identifier", "property") if self.kind == "name" else kids.append(self.primary())
                 node = inner("member_expression" if js else {"go": "selector_expression", "java": "field_access", "kotlin": "navigation_expression"}.get(self.lang, "scoped_identifier" if kids[1].kind == "::" else "field_expression"), kids)
+            elif self.is_("<") and self.lang in ("typescript", "tsx") and self._generics_ahead(("(", *(stops if "{" in stops else ()))):
+                kids = [node.at("name")]
+                self.skip_generics(kids, "type_arguments")
+                node = inner("instantiation_expression", kids)
+            elif self.is_(".") and self.lang == "go" and self.peek() == "(":
+                kids = [node.at("operand"), self.leaf(), self.leaf()]
+                self.until(kids, (")",), "type") if not self.is_("type") else kids.append(self.leaf())
+                self.need(")", kids)
+                node = inner("type_assertion_expression", kids)
+            elif js and self.is_("?.") and self.peek() in ("(", "["):
+                chain = inner("optional_chain", [self.leaf()], "optional_chain")
+                node = inner("call_expression", [node.at("function"), chain, self.group("arguments", "arguments")]) if self.is_("(") else inner("subscript_expression", [node.at("object"), chain, self.group("index", "index")])
             elif self.is_("!") and self.lang == "rust" and self.peek() in ("(", "[", "{"):
                 kids = [node.at("macro"), self.leaf()]
                 kids.append(self.group("token_tree"))
@@ -398,6 +521,99 @@ class _Parser:
                 return node
         return node
 
+    def element_name(self, kids: list[Node], field: str | None, kind: str = "identifier") -> None:
+        """A name with dots, colons or hyphens in it."""
+        a = b = self.here() if self.kind != "name" else self.toks[self.pos][2]
+        while self.kind == "name" or self.is_(".", "-", ":", "--"):
+            b = self.toks[self.pos][3]
+            self.pos += 1
+            if self.toks[self.pos][2] != b:
+                break
+        kids.append(Node(kind, a, b, field=field, missing=a == b))
+
+    def embedded(self) -> Node:
+        """``{expression}``, ``{...spread}`` or ``{}``."""
+        kids = [self.leaf()]
+        while self.kind != "eof" and not self.is_("}"):
+            kids += [self.leaf()] if self.is_(",") else self.step(lambda: self.expr((), True))
+        self.need("}", kids)
+        return inner("jsx_expression", kids)
+
+    def element(self) -> Node:
+        """An element with its text, or a fragment; text is read as it stands, tokens begin anew behind it."""
+        opened: list[tuple[Node, list[Node]]] = []
+        while True:
+            kids = [self.leaf()]
+            if not self.is_(">"):
+                self.element_name(kids, "name")
+                if self.is_("<"):
+                    self.skip_generics(kids)
+            while self.kind != "eof" and not self.is_(">", "/", "<", "/>"):
+                if self.is_("{"):
+                    kids.append(self.embedded())
+                elif self.kind == "name":
+                    sub: list[Node] = []
+                    self.element_name(sub, None, "property_identifier")
+                    if self.is_("="):
+                        sub.append(self.leaf())
+                        sub += [self.string()] if self.kind == "str" else [self.embedded()] if self.is_("{") else [self.element()] if self.is_("<") else []
+                    kids.append(inner("jsx_attribute", sub, "attribute"))
+                else:
+                    bad = self.leaf()
+                    kids.append(Node("ERROR", bad.start, bad.end, [bad]))
+            closed = self.is_("/", "/>")
+            if self.is_("/"):
+                kids.append(self.leaf())
+            if self.text.startswith(">") and self.kind == "op":  # what follows may be lexed as one with it
+                a = self.toks[self.pos][2]
+                kids.append(Node(">", a, a + 1, named=False))
+                self.pos += 1
+            else:
+                self.need("/>" if self.is_("/>") else ">", kids)
+            node: Node | None = inner("jsx_self_closing_element" if closed else "jsx_opening_element", kids)
+            at = node.end
+            if not closed:
+                node.field = "open_tag"
+                opened.append((node, [node]))
+                node = None
+            while opened:
+                own = opened[-1][1]
+                if node is not None:
+                    own.append(node)
+                    node = None
+                stop = at
+                while stop < len(self.s) and self.s[stop] not in "<{":
+                    stop += 1
+                if stop > at:
+                    own.append(Node("jsx_text", at, stop))
+                    self.texts.append(own[-1])
+                self.seek(stop)
+                if stop >= len(self.s) or self.kind == "eof":
+                    own.append(Node("jsx_closing_element", stop, stop, field="close_tag", missing=True))
+                elif self.is_("{"):
+                    own.append(self.embedded())
+                    at = own[-1].end
+                    continue
+                elif self.s.startswith("</", stop):
+                    sub = [self.leaf()] if self.is_("</") else [self.leaf(), self.leaf()]
+                    if self.kind == "name":
+                        self.element_name(sub, "name")
+                    if self.text.startswith(">") and self.kind == "op":
+                        a = self.toks[self.pos][2]
+                        sub.append(Node(">", a, a + 1, named=False))
+                        self.pos += 1
+                    else:
+                        self.need(">", sub)
+                    own.append(inner("jsx_closing_element", sub, "close_tag"))
+                else:
+                    break  # a child begins
+                opened.pop()
+                node = inner("jsx_element", own)
+                at = node.end
+            if not opened:
+                self.seek(at)
+                return node
+
     def arrow(self, kids: list[Node], stops: tuple[str, ...]) -> Node:
         kids.append(self.leaf())
         if self.is_("{"):
@@ -410,6 +626,8 @@ class _Parser:
 
     def object_or_block(self) -> Node:
         js = self.lang in _JS
+        if js and self.types:
+            return self.braces("object_type", self.ts_property, None)
         if not js and self.lang != "go" and not (self.lang == "rust" and (self.peek(2) in (":", ",") or self.peek() == "}")):
             return self.block(None)
         kids = [self.leaf()]
@@ -445,7 +663,9 @@ class _Parser:
             if self.is_("{", "(", "["):
                 if depth == 0 and self.is_("{") and "{" in stops:
                     break
-                sub.append(self.group("object_type"))
+                self.types += 1
+                sub.append(self.braces("object_type", self.ts_property, None) if self.is_("{") and self.lang in _JS else self.group("object_type"))
+                self.types -= 1
                 continue
             if self.fresh() and depth == 0 and len(sub) > 1 and not self.is_("|", "&"):
                 break
@@ -484,20 +704,42 @@ class _Parser:
             kids.append(Node("statement_block", self.here(), self.here(), field="body", missing=True))
         return inner(kind, kids)
 
-    def skip_generics(self, kids: list[Node]) -> None:
+    def skip_generics(self, kids: list[Node], kind: str = "type_parameters") -> None:
         if self.is_("<"):
             sub, depth = [], 0
             while self.kind != "eof":
+                if self.lang in ("typescript", "tsx") and self.is_("{", "(", "["):
+                    self.types += 1
+                    sub.append(self.braces("object_type", self.ts_property, None) if self.is_("{") else self.group("tuple_type" if self.is_("[") else "parenthesized_type"))
+                    self.types -= 1
+                    continue
                 depth += self.is_("<")
                 depth -= self.is_(">")
                 done = self.is_(">") and depth == 0
                 if self.kind == "name":
                     self.ident(sub, "type_identifier", None)
+                elif self.kind in ("str", "num"):
+                    sub.append(self.primary())
                 else:
                     sub.append(self.leaf())
-                if done or self.is_("{", "}", ";"):
+                if done or self.is_("}", ";") or self.is_("{") and self.lang not in ("typescript", "tsx"):
                     break
-            kids.append(inner("type_parameters", sub, "type_parameters"))
+            kids.append(inner(kind, sub, kind))
+
+    def _generics_ahead(self, after: tuple[str, ...]) -> bool:
+        """Whether a ``<`` opens type arguments: it closes over what types are made of, with one of ``after`` behind."""
+        depth = 0
+        for i in range(self.pos, min(self.pos + 200, len(self.toks) - 1)):
+            k, t, *_ = self.toks[i]
+            if k == "op" and t not in ("<", ">", ",", ".", "|", "&", "[", "]", "{", "}", ":", ";", "?", "=>", "(", ")"):
+                return False
+            depth += k == "op" and t in "<([{"
+            depth -= k == "op" and t in ">)]}"
+            if depth == 0:
+                return t == ">" and self.toks[i + 1][1] in after
+            if depth < 0:
+                return False
+        return False
 
     def js_class(self, kind: str, kids: list[Node]) -> Node:
         while self.is_("abstract", "class"):
@@ -581,6 +823,11 @@ class _Parser:
 
     def _js(self) -> Node | list[Node] | None:
         t, ts = self.text, self.lang != "javascript"
+        if self.kind == "name" and t not in self.keys and self.peek() == ":":
+            kids = []
+            self.ident(kids, "statement_identifier", "label")
+            kids.append(self.leaf())
+            return inner("labeled_statement", kids + [x.at("body") for x in self.step(self.statement)])
         if t == "import" and self.peek() not in ("(", "."):
             kids = [self.leaf()]
             while self.kind != "eof" and self.kind != "str" and not self.is_(";"):
@@ -654,7 +901,9 @@ class _Parser:
             self.skip_generics(kids)
             if self.is_("="):
                 kids.append(self.leaf())
+                self.types += 1
                 kids += [x.at("value") for x in self.step(lambda: self.expr((";",), False))]
+                self.types -= 1
             self.end(kids)
             return inner("type_alias_declaration", kids)
         if ts and t == "enum":
@@ -746,7 +995,12 @@ class _Parser:
             else:
                 while self.is_("mut", "ref"):
                     kids.append(self.leaf())
-                if self.kind == "name":
+                if t == "let" and self.kind == "name" and self.peek() in ("{", "(", "::"):
+                    sub: list[Node] = []
+                    while self.kind != "eof" and not self.is_("=", ":", ";", "}"):
+                        sub.append(self.group("pattern") if self.is_("(", "[", "{") else self.primary() or self.leaf())
+                    kids.append(inner("struct_pattern" if sub[-1].children and sub[-1].children[0].kind == "{" else "tuple_struct_pattern", sub, "pattern"))
+                elif self.kind == "name":
                     self.ident(kids, "type_identifier" if t == "type" else "identifier", "pattern" if t == "let" else "name")
                 elif self.is_("(", "["):
                     kids.append(self.group("tuple_pattern", "pattern"))
@@ -755,7 +1009,9 @@ class _Parser:
                     self.until(kids, ("=", ";"), "type", "type_identifier")
                 if self.is_("="):
                     kids.append(self.leaf())
-                    kids += [x.at("value") for x in self.step(lambda: self.expr((";",), True))]
+                    kids += [x.at("value") for x in self.step(lambda: self.expr((";", "else"), True))]
+                if t == "let" and self.is_("else"):
+                    kids += [self.leaf(), *([self.block("alternative")] if self.is_("{") else [])]
             self.end(kids)
             return inner({"use": "use_declaration", "type": "type_item", "let": "let_declaration"}.get(t, f"{t}_item"), kids)
         if kids:
@@ -835,7 +1091,7 @@ class _Parser:
             self.until_line(kids, ("=",), "type")
         if self.is_("="):
             kids.append(self.leaf())
-            kids += [x.at("value") for x in self.step(lambda: self.expr((";",), False))]
+            kids += [x.at("value") for x in self.step(lambda: self.listed((";",), False))]
         return inner(kind, kids)
 
     def until_line(self, kids: list[Node], stops: tuple[str, ...], field: str) -> None:
@@ -1142,6 +1398,9 @@ def parser_of(lang: str):
     def parse(data: bytes) -> Node:
         p = _Parser(data.decode("latin-1"), lang)
         root = p.root()
+        if p.texts:
+            begins = [x.start for x in p.texts]
+            p.comments = sorted((c for c in p.comments if not ((k := bisect_right(begins, c.start)) and c.start < p.texts[k - 1].end)), key=lambda c: c.start)
         place_extras(root, p.comments)
         return root
 

@@ -231,6 +231,7 @@ class _Parser:
     def function(self) -> Node:
         kids = [self.leaf()]
         self.name(kids, "name")
+        self.type_parameters(kids)
         kids.append(self.parameters().at("parameters"))
         if self.is_("->"):
             kids.append(self.leaf())
@@ -298,12 +299,37 @@ class _Parser:
             return inner("parameters", kids)
         return inner("lambda_parameters", kids) if kids else Node("lambda_parameters", self.here(), self.here())
 
+    def type_parameters(self, kids: list[Node]) -> None:
+        """``[T, U: bound = default, *Ts, **P]`` behind a name, if it is there."""
+        if not self.is_("["):
+            return
+        own = [self.leaf()]
+        while self.kind not in _END and not self.is_("]"):
+            before = self.pos
+            if self.is_(","):
+                own.append(self.leaf())
+                continue
+            if self.is_("*", "**"):
+                sub = [inner("splat_type", [self.leaf(), self.expr(0)])]
+            else:
+                sub = [self.type_()]
+            if self.is_(":"):
+                sub = [inner("constrained_type", [*sub, self.leaf(), self.type_()])]
+            own.append(inner("type", sub) if sub[0].kind != "type" else sub[0])
+            if self.is_("="):
+                own += [self.leaf(), self.type_()]
+            if self.pos == before:
+                own.append(inner("ERROR", [self.leaf()]))
+        self.need("]", own)
+        kids.append(inner("type_parameter", own, "type_parameters"))
+
     def type_(self) -> Node:
         return inner("type", [self.expr(0)])
 
     def class_(self) -> Node:
         kids = [self.leaf()]
         self.name(kids, "name")
+        self.type_parameters(kids)
         if self.is_("("):
             kids.append(self.arguments().at("superclasses"))
         self.recover(kids)
