@@ -213,3 +213,20 @@ def test_cache(tmp_path):
     with pytest.raises(DownloadError):
         cache.init(PackConfig(None, ("zz",)))
     cache.configure(PackConfig())
+
+
+def test_extraction_from_kept_trees(spark, tmp_path):
+    """Patterns and queries give the same on trees that were written and read again as on sources."""
+    from treeloom.operators import extract, squery
+    from treeloom.operators.nodes import trees
+
+    rows = [(1, "def a():\n    pass\n\nclass B:\n    def c(self): return 1\n", "python"), (2, "x = 1\n", "python"), (3, "{}", "json"), (4, None, "python"), (5, "", "python")]
+    sources = spark.createDataFrame(rows, "doc_id long, text string, language string")
+    trees(sources).write.parquet(str(tmp_path / "trees"))
+    kept = spark.read.parquet(str(tmp_path / "trees"))
+    config = {"language": "python", "patterns": {"f": {"query": "(function_definition name: (identifier) @n)", "max_results": 1}, "c": {"query": "(class_definition) @c", "child_fields": ["name"]}}}
+    key = lambda r: str(r)
+    assert sorted(extract.extract_from_trees(kept, config).collect(), key=key) == sorted(extract.extract_patterns(sources, config).collect(), key=key)
+    q = "(identifier) @i"
+    got = squery.run_query_on_trees(kept, "python", q).collect()
+    assert got and sorted(got, key=key) == sorted(squery.run_query(sources, "python", q).collect(), key=key)

@@ -11,7 +11,7 @@ from treeloom.plans import schemas as S
 from treeloom.plans.config import ExtractionConfig, ExtractionPattern
 from treeloom.plans.errors import QueryError
 
-from .nodes import parsed
+from .nodes import from_trees, parsed
 from .squery import NODE, Compiled, Matcher, compile_query, node_struct, of_language
 
 _CAPTURE = pa.struct([("name", pa.string()), ("node", NODE), ("text", pa.string()), ("child_fields", pa.map_(pa.string(), pa.string())), ("start_byte", pa.int64())])
@@ -69,12 +69,24 @@ def extract_patterns(sources: DataFrame, config: ExtractionConfig | dict) -> Dat
     config = ExtractionConfig.of(config)
     compiled = compile_extraction(config)
 
+    return parsed(of_language(sources, resolve_alias(config.language)), RESULT, _rows(compiled), _ARROW)
+
+
+def extract_from_trees(trees: DataFrame, config: ExtractionConfig | dict) -> DataFrame:
+    """The same from trees (doc_id, language, raw, nodes) that have been parsed before; nothing is parsed again."""
+    config = ExtractionConfig.of(config)
+    return from_trees(trees.where(F.col("language") == resolve_alias(config.language)), RESULT, _rows(compile_extraction(config)), _ARROW)
+
+
+_ARROW = [("doc_id", pa.int64()), ("pattern_name", pa.string()), ("total_count", pa.int64()), ("matches", MATCH)]
+
+
+def _rows(compiled: dict[str, tuple[ExtractionPattern, Compiled]]):
     def rows(d, _, raw, c):
         for name, total, matches in extract_one(compiled, c, raw):
             yield d, name, total, matches
 
-    arrow = [("doc_id", pa.int64()), ("pattern_name", pa.string()), ("total_count", pa.int64()), ("matches", MATCH)]
-    return parsed(of_language(sources, resolve_alias(config.language)), RESULT, rows, arrow)
+    return rows
 
 
 def as_map(results: DataFrame) -> DataFrame:

@@ -254,6 +254,29 @@ def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | Non
     return out.select("doc_id", "language", "raw", F.col("raw").cast("string").alias("text"), "nodes", "sexp", "ranges", "extractions")
 
 
+def from_trees(trees_: DataFrame, schema: str, rows: Callable[[int, str, bytes, dict], Iterator[tuple]], arrow: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """Run ``rows(doc_id, language, raw, columns)`` over trees that have been parsed before, from a table of them, say."""
+    small_batches(trees_.sparkSession)
+
+    def run(batches):
+        names = [n for n, _ in arrow]
+        for b in batches:
+            out: list[list] = [[] for _ in arrow]
+            ids, langs, raws = (b.column(i).to_pylist() for i in range(3))
+            tree = b.column(3)
+            tree = tree.combine_chunks() if isinstance(tree, pa.ChunkedArray) else tree
+            for k, (d, lang, raw) in enumerate(zip(ids, langs, raws)):
+                if not tree[k].is_valid:
+                    continue
+                own = tree[k].values
+                for row in rows(d, lang, raw, {n: own.field(n).to_pylist() for n in _NAMES}):
+                    for col, v in zip(out, row):
+                        col.append(v)
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, arrow)], names)
+
+    return trees_.select("doc_id", "language", "raw", "nodes").mapInArrow(run, schema)
+
+
 def parse_errors(sources: DataFrame) -> DataFrame:
     """(doc_id, language, error) of sources that can't be parsed."""
     return normal(sources).where("error is not null").select("doc_id", "language", "error")

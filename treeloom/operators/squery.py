@@ -360,19 +360,34 @@ def node_struct(c: dict[str, list], i: int) -> dict:
     return {n: c[n][i] for n, _ in S.NODE_FIELDS}
 
 
+_RUN = f"doc_id bigint, match_seq bigint, pattern_index bigint, captures array<{S.CAPTURE}>"
+_RUN_ARROW = [("doc_id", pa.int64()), ("match_seq", pa.int64()), ("pattern_index", pa.int64()), ("captures", pa.list_(pa.struct([("name", pa.string()), ("node", NODE)])))]
+
+
+def _run_rows(q: Compiled):
+    def rows(d, _, raw, c):
+        for k, (_root, n, caps) in enumerate(Matcher(c, raw).matches(q)):
+            yield d, k, n, [{"name": x, "node": node_struct(c, i)} for x, i in caps]
+
+    return rows
+
+
 def run_query(sources: DataFrame, language: str, query: str) -> DataFrame:
     """(doc_id, match_seq, pattern_index, captures): every match in the sources of ``language``, in document order."""
     from .nodes import parsed
 
     q = compile_query(language, query)
-    lang = resolve_alias(language)
+    return parsed(of_language(sources, resolve_alias(language)), _RUN, _run_rows(q), _RUN_ARROW)
 
-    def rows(d, _, raw, c):
-        for k, (_root, n, caps) in enumerate(Matcher(c, raw).matches(q)):
-            yield d, k, n, [{"name": x, "node": node_struct(c, i)} for x, i in caps]
 
-    arrow = [("doc_id", pa.int64()), ("match_seq", pa.int64()), ("pattern_index", pa.int64()), ("captures", pa.list_(pa.struct([("name", pa.string()), ("node", NODE)])))]
-    return parsed(of_language(sources, lang), f"doc_id bigint, match_seq bigint, pattern_index bigint, captures array<{S.CAPTURE}>", rows, arrow)
+def run_query_on_trees(trees: DataFrame, language: str, query: str) -> DataFrame:
+    """The same in trees (doc_id, language, raw, nodes) that have been parsed before; nothing is parsed again."""
+    from pyspark.sql import functions as F
+
+    from .nodes import from_trees
+
+    q = compile_query(language, query)
+    return from_trees(trees.where(F.col("language") == resolve_alias(language)), _RUN, _run_rows(q), _RUN_ARROW)
 
 
 def of_language(sources: DataFrame, lang: str) -> DataFrame:

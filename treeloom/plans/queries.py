@@ -492,6 +492,125 @@ def html_top_depths(s, d):
     return n.groupBy(F.col("doc_id").alias("page_id"), F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
 
 
+# -- trees that are kept, and what else has no query of its own above
+
+
+@query("SELECT event_id AS doc_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS error_count FROM events")
+def json_error_count(s, d):
+    e = _events(s, d)
+    cut = F.when(F.col("doc_id") % 3 == 0, F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
+    return tree.error_count(nodes(e.withColumn("text", cut)))
+
+
+@query("SELECT event_id AS doc_id, len(json_keys(props))::BIGINT AS pairs, strlen(props)::BIGINT - 2 - 2 * (len(json_keys(props)) - 1)::BIGINT AS pair_bytes FROM events WHERE len(json_keys(props)) > 0")
+def json_find_nodes(s, d):
+    found = tree.find_nodes_by_type(nodes(_events(s, d), kinds=["pair"]), "pair")
+    return found.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(F.col("node.end_byte") - F.col("node.start_byte")).alias("pair_bytes"))
+
+
+@query("""
+SELECT event_id AS doc_id, 'document object {' || array_to_string([CASE WHEN i > 0 THEN ' ,' ELSE '' END || ' pair string " string_content " : number' FOR i IN range(len(json_keys(props)))], '') || ' }' AS kinds FROM events
+""")
+def json_traverse(s, d):
+    t = tree.traverse(nodes(_events(s, d)))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("node_id", "kind"))), lambda x: x.kind)
+    return t.groupBy("doc_id").agg(F.array_join(in_order, " ").alias("kinds"))
+
+
+@query("SELECT event_id AS doc_id, 2 + 7 * len(json_keys(props))::BIGINT + 2 + greatest(len(json_keys(props)) - 1, 0)::BIGINT AS node_count, 4::BIGINT AS max_depth, 0::BIGINT AS error_count FROM events WHERE len(json_keys(props)) > 0")
+def json_tree_metrics(s, d):
+    return tree.tree_metrics(nodes(_events(s, d)))
+
+
+@query("SELECT page_id AS doc_id, len(t)::BIGINT AS total_count, array_to_string(t, ',') AS tags FROM (SELECT page_id, regexp_extract_all(" + _BARE + ", '<([a-z0-9]+)[ >/]', 1) AS t FROM pages)")
+def html_extract_from_trees(s, d):
+    kept = trees(_pages(s, d))
+    m = extract.extract_from_trees(kept, {"language": "html", "patterns": {"tags": {"query": "[(start_tag (tag_name) @t) (self_closing_tag (tag_name) @t)]", "capture_output": "Text"}}})
+    return m.select("doc_id", "total_count", F.array_join(F.transform("matches", lambda x: x.captures[0].text), ",").alias("tags"))
+
+
+@query(r"SELECT page_id AS doc_id, len(regexp_extract_all(" + _BARE + r""", ' (class|lang|charset|id|src|alt)="[^"]*"', 1))::BIGINT AS n FROM pages WHERE n > 0""")
+def html_predicates_negated(s, d):
+    q = '((attribute (attribute_name) @n) (#not-eq? @n "href") (#not-match? @n "^data") (#any-of? @n "class" "lang" "charset" "id" "src" "alt"))'
+    m = squery.run_query_on_trees(trees(_pages(s, d)), "html", q)
+    return m.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(_values(["strlen('" + _PY.replace("'", "''").replace("{i}", _I) + "')::BIGINT - 5 AS start_byte, 4::BIGINT AS n_bytes"]))
+def py_body_span(s, d):
+    x = intel.feature_table(trees(_made(s, d, "python", _PY)), "structure").where(F.col("name").startswith("f"))
+    return x.select("doc_id", F.col("body_span.start_byte").alias("start_byte"), (F.col("body_span.end_byte") - F.col("body_span.start_byte")).alias("n_bytes"))
+
+
+@query(_values([f"'export default class D{_I} {{}}' AS name, 'Named' AS kind"]))
+def js_exports(s, d):
+    return intel.feature_table(trees(_made(s, d, "javascript", _JS)), "exports").select("doc_id", "name", "kind")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 'Syntax error: unexpected ' || chr(39) || ']' || chr(39) AS message FROM nation WHERE n_nationkey % 2 = 0")
+def json_diagnostics(s, d):
+    text = F.when(F.col("doc_id") % 2 == 0, '{"a": 1 ]}').otherwise('{"a": 1}')
+    return intel.feature_table(trees(_code(s, d, "json", text)), "diagnostics").select("doc_id", "message")
+
+
+_REAL = """package p{i}
+
+func Open{i}(name string) (*File, error) {
+	f, err := os.Open(name)
+	if v, ok := cache[name]; ok {
+		return v, nil
+	}
+	a, b = b, a
+	return f, err
+}
+"""
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 0::BIGINT AS errors, 3::BIGINT AS declared, 2::BIGINT AS returned FROM nation")
+def go_expression_lists(s, d):
+    n = nodes(_made(s, d, "go", _REAL))
+    return n.groupBy("doc_id").agg(F.count_if(tree.broken()).alias("errors"), F.count_if(F.col("kind").isin("short_var_declaration", "assignment_statement")).alias("declared"), F.count_if(F.col("kind") == "return_statement").alias("returned"))
+
+
+_TSX = """type P{i} = Base<'a'> & { side?: 'l' | 'r'; pick(x: number): void };
+export function C{i}({ title, ...props }: { title?: string }) {
+  return <div className="c" {...props}>it's {title} <br/>// text</div>;
+}
+"""
+
+
+@query(_values([f"'P{_I}' AS name, 'Type' AS kind, 0::BIGINT AS errors, 1::BIGINT AS elements", f"'C{_I}', 'Function', 0, 1"]))
+def tsx_symbols(s, d):
+    t = trees(_made(s, d, "tsx", _TSX))
+    count = lambda test: F.size(F.filter("nodes", test)).cast("long")
+    x = t.select("doc_id", F.explode(intel.symbols()).alias("x"), count(lambda n: n.is_error | n.is_missing).alias("errors"), count(lambda n: n.kind == "jsx_element").alias("elements"))
+    return x.select("doc_id", "x.name", "x.kind", "errors", "elements")
+
+
+_MATCH = "fn f{i}(x: Kind) -> u8 {\n    match x {\n        Kind::A => 1,\n        Kind::B | Kind::C(..) if ok() => list.iter().map(|t| t + 1).sum(),\n        _ => { 0 }\n    }\n}\n"
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, 3::BIGINT AS arms, 1::BIGINT AS closures, 0::BIGINT AS errors FROM nation")
+def rust_match_arms(s, d):
+    n = nodes(_made(s, d, "rust", _MATCH))
+    return n.groupBy("doc_id").agg(F.count_if(F.col("kind") == "match_arm").alias("arms"), F.count_if(F.col("kind") == "closure_expression").alias("closures"), F.count_if(tree.broken()).alias("errors"))
+
+
+_CHUNKED = "class K{i}:\n    def a(self):\n        pass\n\n    # note\n    def b(self):\n        pass\n"
+
+
+@query(_values([
+    f"0::BIGINT AS chunk_index, 0::BIGINT AS start_byte, strlen('class K{_I}:') + 5 AS end_byte, 'K{_I}' AS symbols, '' AS context, '' AS comments",
+    f"1, strlen('class K{_I}:') + 5, strlen('class K{_I}:') + 36, 'K{_I},a', 'K{_I}', ''",
+    f"2, strlen('class K{_I}:') + 36, strlen('class K{_I}:') + 73, 'K{_I},b', 'K{_I}', '# note>function_definition'",
+]))
+def py_chunks(s, d):
+    c = chunk.chunk_table(_made(s, d, "python", _CHUNKED), 40)
+    joined = lambda x: F.array_join(f"metadata.{x}", ",")
+    notes = F.array_join(F.transform("metadata.comments", lambda x: F.concat(x.text, F.lit(">"), x.associated_node)), ",")
+    return c.select("doc_id", "metadata.chunk_index", "start_byte", "end_byte", joined("symbols_defined").alias("symbols"), joined("context_path").alias("context"), notes.alias("comments"))
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Metrics of every page's syntax tree with the numbers of its most telling elements."""
     t = trees(_pages(spark, sf_dir))
