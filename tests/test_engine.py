@@ -82,7 +82,7 @@ def test_lines(spark, text, want):
     assert tuple(one(spark, lines.line_metrics, text)) == want
 
 
-PY = '# A comment\nimport os\nfrom pathlib import Path\n\ndef greet(name):\n    """Say hello."""\n    return f\'Hi {name}\'\n\nclass A:\n    def m(self):\n        pass\n'
+PY = '# A comment\nimport os\nfrom pathlib import Path\n\ndef tally(rows):\n    """Count rows."""\n    return f\'n={rows}\'\n\nclass A:\n    def m(self):\n        pass\n'
 
 
 def sources(spark, *texts, lang="python"):
@@ -92,12 +92,12 @@ def sources(spark, *texts, lang="python"):
 def test_process(spark):
     r = api.process(sources(spark, PY), ProcessConfig("python").all().with_chunking(60)).first()
     assert r.metrics.total_lines == 11 and r.metrics.error_count == 0 and r.metrics.max_depth >= 4
-    assert [(s.kind, s.name) for s in r.structure] == [("Function", "greet"), ("Class", "A"), ("Function", "m")]
+    assert [(s.kind, s.name) for s in r.structure] == [("Function", "tally"), ("Class", "A"), ("Function", "m")]
     assert r.structure[2].parent_item_id == r.structure[1].item_id and r.structure[0].body_span is not None
     assert [i.source for i in r.imports] == ["import os", "from pathlib import Path"] and r.exports == []
     assert [(c.text, c.kind, c.associated_node) for c in r.comments] == [("# A comment", "Line", "import_statement")]
-    assert [(d.text, d.associated_item) for d in r.docstrings] == [('"""Say hello."""', "greet")]
-    assert [s.name for s in r.symbols] == ["greet", "A", "m"] and r.diagnostics == []
+    assert [(d.text, d.associated_item) for d in r.docstrings] == [('"""Count rows."""', "tally")]
+    assert [s.name for s in r.symbols] == ["tally", "A", "m"] and r.diagnostics == []
     assert "".join(c.content for c in r.chunks) == PY and all(len(c.content.encode()) <= 60 for c in r.chunks)
     assert r.chunks[0].start_line == 0 and r.chunks[-1].end_line == 11 and r.chunks[0].metadata.total_chunks == len(r.chunks)
     defaults = api.process(sources(spark, PY), {"language": "python"}).first()

@@ -1,4 +1,4 @@
-"""Command line: ``python -m treeloom list|info|parse|process|download|clean|cache-dir|init``."""
+"""Command line: ``python -m treeloom list|info|parse|process|download|clean|cache-dir|init|completions``."""
 
 from __future__ import annotations
 
@@ -44,9 +44,31 @@ def build() -> argparse.ArgumentParser:
     x.add_argument("--groups", default="")
     sub.add_parser("clean")
     sub.add_parser("cache-dir")
+    x = sub.add_parser("completions")
+    x.add_argument("shell", choices=("bash", "zsh", "fish"))
     return p
 
 
+def completions(shell: str) -> str:
+    """A script that completes commands, and the options of each, in a shell."""
+    sub = next(a for a in build()._actions if isinstance(a, argparse._SubParsersAction))
+    options = {name: sorted(o for a in p._actions for o in a.option_strings if o.startswith("--")) for name, p in sub.choices.items()}
+    names = " ".join(options)
+    if shell == "fish":
+        rows = ["complete -c treeloom -f", f"complete -c treeloom -n __fish_use_subcommand -a '{names}'"]
+        return "\n".join(rows + [f"complete -c treeloom -n '__fish_seen_subcommand_from {k}' -l {o[2:]}" for k, v in options.items() for o in v])
+    cases = "\n".join(f"    {k}) COMPREPLY=($(compgen -f -W '{' '.join(v)}' -- \"$word\"));;" for k, v in options.items())
+    script = f"""_treeloom() {{
+  local word="${{COMP_WORDS[COMP_CWORD]}}"
+  if [ "$COMP_CWORD" -eq 1 ]; then COMPREPLY=($(compgen -W '{names}' -- "$word")); return; fi
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+  esac
+}}
+complete -F _treeloom treeloom"""
+    return "autoload -U +X bashcompinit && bashcompinit\n" + script if shell == "zsh" else script
+
+
 def source(spark: SparkSession, a: argparse.Namespace):
     from pyspark.sql import functions as F
 
@@ -72,6 +94,8 @@ def main(argv: list[str] | None = None) -> int:
             print("\n".join(f"{k}: {v}" for k, v in registry.info(a.language).items()))
         elif a.command == "cache-dir":
             print(cache.cache_dir())
+        elif a.command == "completions":
+            print(completions(a.shell))
         elif a.command == "clean":
             cache.clean_cache()
         elif a.command == "download":

@@ -7,7 +7,7 @@ import tomllib
 from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
-from .errors import ConfigError
+from .errors import ConfigError, IoError, TomlError
 
 CAPTURE_OUTPUTS = ("Text", "Node", "Full")
 CONFIG_NAME = "treeloom.toml"
@@ -113,8 +113,10 @@ class PackConfig:
     def load(cls, path: str | Path) -> PackConfig:
         try:
             d = tomllib.loads(Path(path).read_text())
-        except (OSError, tomllib.TOMLDecodeError) as e:
-            raise ConfigError(f"{path}: {e}") from e
+        except OSError as e:
+            raise IoError(f"{path}: {e}") from e
+        except tomllib.TOMLDecodeError as e:
+            raise TomlError(f"{path}: {e}") from e
         return cls(d.get("cache_dir"), tuple(d.get("languages") or ()), tuple(d.get("groups") or ()))
 
     @classmethod
@@ -127,8 +129,14 @@ class PackConfig:
         return None
 
     def save(self, folder: str | Path = ".") -> Path:
-        """Write the file into a folder; lists and strings need no more than this."""
-        rows = [f"{k} = {v!r}".replace("'", '"') if isinstance(v, str) else f"{k} = [{', '.join(chr(34) + x + chr(34) for x in v)}]" for k, v in asdict(self).items() if v]
+        """Write the file into a folder."""
+        rows = [f"{k} = {_toml_string(v)}" if isinstance(v, str) else f"{k} = [{', '.join(map(_toml_string, v))}]" for k, v in asdict(self).items() if v]
         path = Path(folder) / CONFIG_NAME
         path.write_text("\n".join(rows) + "\n")
         return path
+
+
+def _toml_string(s: str) -> str:
+    """A basic string: quotes, backslashes and control characters are escaped."""
+    out = "".join("\\" + ch if ch in '"\\' else f"\\u{ord(ch):04x}" if ord(ch) < 32 or ord(ch) == 127 else ch for ch in s)
+    return f'"{out}"'

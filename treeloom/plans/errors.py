@@ -33,3 +33,21 @@ class InvalidRange(TreeloomError):
 
 class DownloadError(TreeloomError):
     pass
+
+
+class IoError(ConfigError):
+    """A file can't be read or written."""
+
+
+class TomlError(ConfigError):
+    """A configuration file isn't TOML."""
+
+
+class JsonError(ConfigError):
+    """A configuration given as text isn't JSON."""
+
+
+class ChecksumMismatch(DownloadError):
+    def __init__(self, file: str, expected: str, actual: str):
+        super().__init__(f"checksum mismatch for {file}: expected {expected}, got {actual}")
+        self.file, self.expected, self.actual = file, expected, actual

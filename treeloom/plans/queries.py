@@ -44,9 +44,9 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _spread(s: SparkSession, df: DataFrame) -> DataFrame:
-    """Rows over all cores where a table has fewer files than cores: parsing costs far more than moving the text."""
+    """Rows over all cores where a scan has fewer partitions than there are cores: parsing costs far more than moving the text."""
     cores = s.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -415,7 +415,7 @@ def py_diagnostics(s, d):
     return intel.feature_table(trees(_code(s, d, "python", text)), "diagnostics").select("doc_id", "message")
 
 _KT = "package foo.x{i}\n\nimport a.b{i}\n\nclass W{i} {\n    fun g(): String = \"hi\"\n}\n\nfun top{i}(a: Int): Int { return a }\n"
-_RB = "require 'json'\n\nclass G{i}\n  def greet(name)\n    name\n  end\n\n  class N{i}\n  end\nend\n"
+_RB = "require 'json'\n\nclass G{i}\n  def hail(who)\n    who\n  end\n\n  class N{i}\n  end\nend\n"
 _C = '#include <stdio.h>\n\nint main{i}(void) {\n    printf("x");\n    return 0;\n}\n'
 _JS = "import fs from 'f{i}';\n// note {i}\nfunction f{i}(x) { return x; }\nclass C{i} { m{i}() { return 1; } }\nconst g{i} = (a) => a;\nexport default class D{i} {}\n"
 
