@@ -230,3 +230,37 @@ def test_extraction_from_kept_trees(spark, tmp_path):
     q = "(identifier) @i"
     got = squery.run_query_on_trees(kept, "python", q).collect()
     assert got and sorted(got, key=key) == sorted(squery.run_query(sources, "python", q).collect(), key=key)
+
+
+def test_chunks_of_prose_by_hand():
+    """Texts without syntax, lines longer than a chunk and characters of several bytes included."""
+    import random
+
+    from treeloom.operators.chunk import split_code
+
+    def by_hand(text, most):
+        out, now = [], ""
+        if len(text.encode()) <= most:
+            return [text] if text else []
+        for line in text.splitlines(keepends=True) if "\r" not in text else [text]:
+            if len((now + line).encode()) > most and now:
+                out.append(now)
+                now = ""
+            if len(line.encode()) > most:
+                piece = ""
+                for ch in line:
+                    if piece and len((piece + ch).encode()) > most:
+                        out.append(piece)
+                        piece = ""
+                    piece += ch
+                out.append(piece)
+            else:
+                now += line
+        return [*out, now] if now else out
+
+    r = random.Random(4)
+    for _ in range(500):
+        text = "".join(r.choice(["a", "bc ", "é", "漢字", "\n", "\n", "word " * r.randrange(6)]) for _ in range(r.randrange(0, 60)))
+        most = r.randrange(1, 40)
+        raw = text.encode()
+        assert [raw[a:b].decode() for a, b in split_code(raw, {}, most)] == by_hand(text, most)
