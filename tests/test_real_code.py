@@ -6,6 +6,8 @@ from treeloom.operators.nodes import parse_one
 from treeloom.operators.parsers.base import sexp
 
 SOURCES = {
+    "toml": [("# parts\na = 0x1F\n'b c'.d = \"x\\u00e9\"\n[t.\"u v\"]\nlong = \"\"\"\none\ntwo\"\"\"\nat = [1979-05-27T07:32:00Z, 07:32:00] # last\n[[e]]\nf = {g = [ {h = -1.5e3}, ], i = inf}\n", "offset_date_time")],
+    "css": [("@import url('a.css') screen;\n@media (min-width: 30em) and (orientation: landscape) {\n  .a > li + li ~ p::first-line, [href^=\"x\"] { color: #0af; margin: -1px auto 0 .5em !important }\n}\n@keyframes spin { from { top: 0 } 50%, 75% { top: 1px } to { top: 2px } }\n:root { --main: rgba(0, 0, 0, .5) }\n.card { &:hover { width: calc(100% - (2px * 3)) } a:not(.b):nth-child(2n+1) { background: url(a/b.png?c=d) } }\n", "keyframes_statement")],
     "python": [
         ("class Box[Item: Hashable](Base[Item]):\n    async def fill[**P, *Rest, Other = int](self, first: Item, *, second: Other | None = None) -> dict[str, Item]:\n        return {k: v async for k, v in first if v is not None}\n", "type_parameter"),
         ("with open(a) as f, open(b) as g:\n    x: list[int] = [*map(int, f), *g]\n    y = lambda *q, **r: (q, r)\nmatch = 3\n", "with_statement"),
@@ -53,9 +55,12 @@ def test_errors_are_still_found():
     for language, text in (("tsx", "const a = <p>x</q"), ("tsx", "const a = <p"), ("go", "package p\nfunc f() { return a, }}\n"), ("rust", "fn f() { match x { A => 1 B ) } }"), ("python", "class A[T(:\n    pass\n")):
         c = parse_one(language, text.encode())
         assert any(c["is_error"]) or any(c["is_missing"]), text
+    for language, text in (("toml", "a = \n"), ("toml", "[t\n"), ("toml", "a = [1, 2\n"), ("toml", "??\n"), ("css", "a { color: red"), ("css", "a } b {}"), ("css", "> {"), ("css", "a { b: 'c\n }")):
+        c = parse_one(language, text.encode())
+        assert any(c["is_error"]) or any(c["is_missing"]), text
 
 
-@pytest.mark.parametrize("language,text", [("python", "x = " + "(" * 3000 + "1" + ")" * 3000 + "\n"), ("javascript", "x = " + "[" * 3000 + "]" * 3000 + ";"), ("json", "[" * 50_000 + "]" * 50_000)])
+@pytest.mark.parametrize("language,text", [("python", "x = " + "(" * 3000 + "1" + ")" * 3000 + "\n"), ("javascript", "x = " + "[" * 3000 + "]" * 3000 + ";"), ("json", "[" * 50_000 + "]" * 50_000), ("toml", "a = " + "[" * 20_000 + "]" * 20_000 + "\n"), ("css", "a { " * 20_000 + "}" * 20_000), ("css", "a { b: " + "f(" * 20_000 + ")" * 20_000 + " }")])
 def test_deep_nesting_keeps_its_tree(language, text):
     c = parse_one(language, text.encode())
     assert max(c["depth"]) >= 3000 and not any(c["is_error"]) and not any(c["is_missing"])

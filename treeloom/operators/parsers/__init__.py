@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import clike, html_, json_, python_, ruby_
+from . import clike, css_, html_, json_, python_, ruby_, toml_
 from .base import Node
 
 PARSERS: dict[str, Callable[[bytes], Node]] = {
@@ -12,5 +12,7 @@ PARSERS: dict[str, Callable[[bytes], Node]] = {
     "html": html_.parse,
     "python": python_.parse,
     "ruby": ruby_.parse,
+    "css": css_.parse,
+    "toml": toml_.parse,
     **{x: clike.parser_of(x) for x in ("javascript", "typescript", "tsx", "rust", "go", "java", "kotlin", "c")},
 }

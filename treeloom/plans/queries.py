@@ -619,6 +619,21 @@ def py_chunks(s, d):
     return c.select("doc_id", "metadata.chunk_index", "start_byte", "end_byte", joined("symbols_defined").alias("symbols"), joined("context_path").alias("context"), notes.alias("comments"))
 
 
+_TOML = '# tank {i}\n[tank{i}]\nname = "n{i}"\nparts.size = [1, 2.5]\nwhen = 2020-01-02\n\n[[valve]]\nopen = { now = true }\n'
+_CSS = "@media print { a.c{i} > b, #d{i}:hover { color: red; width: {i}px !important } }\n/* note {i} */\np { margin: calc(1em + 2px) }\n"
+
+
+@query(_values(["'(document (comment) (table (bare_key) (pair (bare_key) (string)) (pair (dotted_key (bare_key) (bare_key)) (array (integer) (float))) (pair (bare_key) (local_date))) (table_array_element (bare_key) (pair (bare_key) (inline_table (pair (bare_key) (boolean))))))' AS sexp"]))
+def toml_sexp(s, d):
+    return tree.tree_to_sexp(_made(s, d, "toml", _TOML))
+
+
+@query(_values(["'selectors' AS kind, 2::BIGINT AS n", "'declaration', 3", "'rule_set', 2", "'class_name', 2", "'comment', 1", "'media_statement', 1", "'call_expression', 1", "'important', 1"]))
+def css_kinds(s, d):
+    kinds = ["selectors", "declaration", "rule_set", "class_name", "comment", "media_statement", "call_expression", "important", "ERROR"]
+    return nodes(_made(s, d, "css", _CSS), kinds=kinds).where("is_named").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Metrics of every page's syntax tree with the numbers of its most telling elements."""
     t = trees(_pages(spark, sf_dir))
