@@ -95,8 +95,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     is packed, repeated rows each for itself; rows with a null or empty text
     have no token and no piece, and rows with a null doc_id, which the result
     could not name, are left out. Equal lengths take slots in order of a hash
-    of doc_id. An empty table gives no row. Other columns are ignored, whatever
-    their names.
+    of doc_id. Texts of any length are packed entire. An empty table gives no
+    row. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     lengths = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), token_count().cast("int").alias("total")).where("total > 0")
@@ -127,15 +127,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan_rows = [(k, [(x[1], x[2], x[3], x[4], x[5]) for x in v]) for k, v in runs.items()]
     planned = spark.createDataFrame(plan_rows, "length int, runs array<struct<first_rank: long, n: long, first_bin: long, per_bin: long, first_offset: int>>")
     placed = ranked.join(F.broadcast(planned), "length", "left").withColumn("s", F.element_at(F.filter("runs", lambda x: (x.first_rank <= F.col("rank")) & (F.col("rank") < x.first_rank + x.n)), 1)).drop("runs")
-    off = F.col("rank") - F.col("s.first_rank")
-    rest = placed.where("length > 0").select(
-        "doc_id", F.expr(f"int(total div {capacity})").alias("piece"), (F.col("total") - F.col("length")).alias("first_token"), F.col("length").alias("n_tokens"),
-        (F.col("s.first_bin") + F.floor(off / F.col("s.per_bin"))).cast("long").alias("bin_id"),
-        (F.col("s.first_offset") + F.pmod(off, F.col("s.per_bin")) * F.col("length")).cast("int").alias("bin_offset"),
+    # One pass makes all pieces of a document: full ones, then the remainder if there is one.
+    pieces = placed.withColumn("piece", F.explode(F.expr(f"sequence(0, int((total - 1) div {capacity}))")))
+    whole, off = F.col("piece") < F.expr(f"total div {capacity}"), F.col("rank") - F.col("s.first_rank")
+    return pieces.select(
+        "doc_id", "piece", (F.col("piece") * capacity).cast("int").alias("first_token"), F.when(whole, F.lit(capacity)).otherwise(F.col("length")).alias("n_tokens"),
+        F.when(whole, F.col("full_bin") + F.col("piece")).otherwise(F.col("s.first_bin") + F.floor(off / F.col("s.per_bin"))).cast("long").alias("bin_id"),
+        F.when(whole, F.lit(0)).otherwise(F.col("s.first_offset") + F.pmod(off, F.col("s.per_bin")) * F.col("length")).cast("int").alias("bin_offset"),
     )
-    whole = placed.where(f"total >= {capacity}").select("doc_id", "full_bin", F.explode(F.expr(f"sequence(0, int(total div {capacity}) - 1)")).alias("piece"))
-    whole = whole.select("doc_id", "piece", (F.col("piece") * capacity).cast("int").alias("first_token"), F.lit(capacity).alias("n_tokens"), (F.col("full_bin") + F.col("piece")).cast("long").alias("bin_id"), F.lit(0).alias("bin_offset"))
-    return rest.unionByName(whole)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
