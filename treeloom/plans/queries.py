@@ -43,10 +43,17 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     return _spread(s, s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit("html").alias("language")))
 
 
+#: Rows and bytes of text that a task parses at most, ids being hashed evenly.
+ROWS, BYTES = 50_000, 4 << 20
+
+
 def _spread(s: SparkSession, df: DataFrame) -> DataFrame:
-    """Rows over all cores where a scan has fewer partitions than there are cores: parsing costs far more than moving the text."""
-    cores = s.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Rows hashed by id over all cores, and in more pieces the more rows or bytes there are: parsing costs far more than moving the text.
+
+    Partitions of the scan won't do, however many, for a row group goes to one of them entire.
+    """
+    rows, size = df.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    return df.repartition(max(s.sparkContext.defaultParallelism, -(-rows // ROWS), -(-(size or 0) // BYTES)), "doc_id")
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
