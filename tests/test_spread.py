@@ -28,3 +28,12 @@ def test_one_row_group(spark, tmp_path, monkeypatch, most):
 def test_no_rows(spark, tmp_path):
     pq.write_table(pa.table({"page_id": pa.array([], pa.int64()), "html": pa.array([], pa.string())}), str(tmp_path / "pages.parquet"))
     assert queries._pages(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["json_run_query_pairs", "json_udtf", "html_extract_from_trees", "html_predicates_negated", "json_traverse", "json_nodes_by_kind", "json_extract_text", "json_error_flag", "json_tree_metrics", "json_contains_object"])
+def test_pieces_follow_rows(spark, small, monkeypatch, name):
+    """Each query parses in as many pieces as its rows need, more than there are cores."""
+    monkeypatch.setattr(queries, "ROWS", 2)
+    rows = spark.read.parquet(f"{small}/{'pages' if name.startswith('html') else 'events'}.parquet").count()
+    plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {-(-rows // 2)}\n" in plan and rows // 2 > spark.sparkContext.defaultParallelism

@@ -303,13 +303,15 @@ def register_table_function(spark: SparkSession) -> None:
 
     @udtf(returnType=", ".join(f"{n} {t}" for n, t in S.TREE_FIELDS))
     class ParseNodes:
+        def __init__(self):
+            self.known = _parsers()
+
         def eval(self, text: str, language: str):
             lang = R.resolve_alias(language) if language is not None else None
-            if text is None or lang not in _parsers():
+            if text is None or lang not in self.known:
                 return
-            c = parse_one(lang, text.encode())
-            for i in range(len(c["kind"])):
-                yield tuple(c[n][i] for n in _NAMES)
+            c = parse_one(lang, text.encode(), self.known)
+            yield from zip(*(c[n] for n in _NAMES))
 
     spark.udtf.register("parse_nodes", ParseNodes)
 
