@@ -65,8 +65,8 @@ def _parsers() -> dict[str, Callable[[bytes], Node]]:
     return {**PARSERS, **R._ADDED}
 
 
-def parse_one(language: str, text: bytes, parsers: dict | None = None) -> dict[str, list]:
-    """Columns of one document's nodes.
+def parse_one(language: str, text: bytes, parsers: dict | None = None, wanted: Collection[str] | None = None) -> dict[str, list]:
+    """Columns of one document's nodes, the ``wanted`` ones or all.
 
     Parsers recurse on the heap, so deep nesting is let go as deep as the text
     can be, up to ``MOST_FRAMES``; a parser that gives up beyond yields a root
@@ -77,12 +77,12 @@ def parse_one(language: str, text: bytes, parsers: dict | None = None) -> dict[s
     for frames in (limit, min(MOST_FRAMES, limit + 40 * len(text))):
         try:
             sys.setrecursionlimit(max(limit, frames))
-            return flatten(parser(text), text)
+            return flatten(parser(text), text, wanted)
         except RecursionError:
             continue
         finally:
             sys.setrecursionlimit(limit)
-    return flatten(Node("ERROR", 0, len(text)), text)
+    return flatten(Node("ERROR", 0, len(text)), text, wanted)
 
 
 def links(c: dict[str, list]) -> dict[str, list]:
@@ -151,14 +151,19 @@ def parsed(sources: DataFrame, schema: str, rows: Callable[[int, str, bytes, dic
     return normal(sources).where("error is null").select("doc_id", "language", "text").mapInArrow(run, schema)
 
 
-def nodes(sources: DataFrame, kinds: Collection[str] | None = None, text_kinds: Collection[str] = ()) -> DataFrame:
+def nodes(sources: DataFrame, kinds: Collection[str] | None = None, text_kinds: Collection[str] = (), columns: Collection[str] | None = None) -> DataFrame:
     """The node table: one row for each node, in pre-order within its document.
 
     ``kinds`` keeps only nodes of those kinds (ids and parents stay as they
-    are); ``text_kinds`` fills ``text`` for nodes of those kinds. Both are
-    pushed into the parse. Sources that can't be parsed give no row; see
-    ``parse_errors``.
+    are); ``text_kinds`` fills ``text`` for nodes of those kinds; ``columns``
+    are those wanted of a node's own, beside ``doc_id``, instead of all with
+    language and text. All are pushed into the parse. Sources that can't be
+    parsed give no row; see ``parse_errors``.
     """
+    if columns is not None:
+        if text_kinds or not set(columns) <= set(_NAMES):
+            raise ValueError(f"columns must be some of {', '.join(_NAMES)}, without text_kinds")
+        return _some_columns(sources, kinds, [(n, t) for n, t in S.TREE_FIELDS if n in columns])
     keep, texts = frozenset(kinds) if kinds is not None else None, frozenset(text_kinds)
     small_batches(sources.sparkSession)
     added = dict(R._ADDED)
@@ -193,6 +198,35 @@ def nodes(sources: DataFrame, kinds: Collection[str] | None = None, text_kinds:
     return normal(sources).where("error is null").select("doc_id", "language", "text").mapInArrow(run, S.NODES)
 
 
+def _some_columns(sources: DataFrame, kinds: Collection[str] | None, fields: list[tuple[str, str]]) -> DataFrame:
+    keep = frozenset(kinds) if kinds is not None else None
+    small_batches(sources.sparkSession)
+    added = dict(R._ADDED)
+    wanted = frozenset(n for n, _ in fields) | {"kind"}
+
+    def run(batches):
+        known = {**_parsers(), **added}
+
+        def batch():
+            return pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(cols[n], _TYPES[t]) for n, t in fields)], ["doc_id", *(n for n, _ in fields)])
+
+        for b in batches:
+            ids, cols = [], {n: [] for n, _ in fields}
+            for d, lang, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                c = parse_one(lang, text.encode(), known, wanted)
+                on = None if keep is None else [i for i, k in enumerate(c["kind"]) if k in keep]
+                for n, col in cols.items():
+                    col += c[n] if on is None else [c[n][i] for i in on]
+                ids += [d] * len(c["kind"] if on is None else on)
+                if len(ids) > 50_000:
+                    yield batch()
+                    ids, cols = [], {n: [] for n, _ in fields}
+            yield batch()
+
+    schema = ", ".join(f"{n} {t}" for n, t in [("doc_id", "bigint"), *fields])
+    return normal(sources).where("error is null").select("doc_id", "language", "text").mapInArrow(run, schema)
+
+
 RANGE = pa.struct([
     ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("node_types", pa.list_(pa.string())), ("context_path", pa.list_(pa.string())), ("symbols_defined", pa.list_(pa.string())),
     ("comments", pa.list_(pa.struct([("text", pa.string()), ("kind", pa.string()), ("span", pa.struct([(n, pa.int64()) for n in ("start_byte", "end_byte", "start_line", "start_column", "end_line", "end_column")])), ("associated_node", pa.string())]))),

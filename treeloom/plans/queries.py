@@ -527,7 +527,7 @@ def json_find_nodes(s, d):
 SELECT event_id AS doc_id, 'document object {' || array_to_string([CASE WHEN i > 0 THEN ' ,' ELSE '' END || ' pair string " string_content " : number' FOR i IN range(len(json_keys(props)))], '') || ' }' AS kinds FROM events
 """)
 def json_traverse(s, d):
-    t = tree.traverse(nodes(_events(s, d)))
+    t = tree.traverse(nodes(_events(s, d), columns=["node_id", "kind"]))
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("node_id", "kind"))), lambda x: x.kind)
     return t.groupBy("doc_id").agg(F.array_join(in_order, " ").alias("kinds"))
 
