@@ -175,7 +175,7 @@ SELECT kind, count(*)::BIGINT AS n FROM (
 GROUP BY kind
 """)
 def json_nodes_by_kind(s, d):
-    return nodes(_events(s, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    return nodes(_events(s, d), columns=["kind"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id AS doc_id, 'document' AS kind, 0::BIGINT AS start_byte, strlen(props)::BIGINT AS end_byte, 1::BIGINT AS named_child_count FROM events")
