@@ -218,7 +218,7 @@ def json_contains_object(s, d):
 @query("SELECT event_id AS doc_id, json_keys(props)[1] AS text FROM events WHERE len(json_keys(props)) > 0")
 def json_extract_text(s, d):
     e = _events(s, d)
-    first = nodes(e, kinds=["string_content"]).groupBy("doc_id").agg(F.min_by(F.struct("node_id", "start_byte", "end_byte"), "node_id").alias("n")).select("doc_id", "n.*")
+    first = nodes(e, kinds=["string_content"], columns=["node_id", "start_byte", "end_byte"]).groupBy("doc_id").agg(F.min_by(F.struct("node_id", "start_byte", "end_byte"), "node_id").alias("n")).select("doc_id", "n.*")
     return tree.extract_text(first, e).select("doc_id", "text")
 
 
