@@ -207,7 +207,7 @@ def json_run_query_pairs(s, d):
 def json_error_flag(s, d):
     e = _events(s, d)
     cut = F.when(F.col("doc_id") % 3 == 0, F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
-    return tree.has_error_nodes(nodes(e.withColumn("text", cut)))
+    return tree.has_error_nodes(nodes(e.withColumn("text", cut), columns=["is_error", "is_missing"]))
 
 
 @query("SELECT event_id AS doc_id, true AS found FROM events")
@@ -514,7 +514,7 @@ def html_top_depths(s, d):
 def json_error_count(s, d):
     e = _events(s, d)
     cut = F.when(F.col("doc_id") % 3 == 0, F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
-    return tree.error_count(nodes(e.withColumn("text", cut)))
+    return tree.error_count(nodes(e.withColumn("text", cut), columns=["is_error", "is_missing"]))
 
 
 @query("SELECT event_id AS doc_id, len(json_keys(props))::BIGINT AS pairs, strlen(props)::BIGINT - 2 - 2 * (len(json_keys(props)) - 1)::BIGINT AS pair_bytes FROM events WHERE len(json_keys(props)) > 0")
