@@ -534,7 +534,7 @@ def json_traverse(s, d):
 
 @query("SELECT event_id AS doc_id, 2 + 7 * len(json_keys(props))::BIGINT + 2 + greatest(len(json_keys(props)) - 1, 0)::BIGINT AS node_count, 4::BIGINT AS max_depth, 0::BIGINT AS error_count FROM events WHERE len(json_keys(props)) > 0")
 def json_tree_metrics(s, d):
-    return tree.tree_metrics(nodes(_events(s, d)))
+    return tree.tree_metrics(nodes(_events(s, d), columns=["is_error", "is_missing", "depth"]))
 
 
 @query("SELECT page_id AS doc_id, len(t)::BIGINT AS total_count, array_to_string(t, ',') AS tags FROM (SELECT page_id, regexp_extract_all(" + _BARE + ", '<([a-z0-9]+)[ >/]', 1) AS t FROM pages)")
