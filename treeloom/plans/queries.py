@@ -212,7 +212,7 @@ def json_error_flag(s, d):
 
 @query("SELECT event_id AS doc_id, true AS found FROM events")
 def json_contains_object(s, d):
-    return tree.contains_node_type(nodes(_events(s, d)), "object")
+    return tree.contains_node_type(nodes(_events(s, d), columns=["kind"]), "object")
 
 
 @query("SELECT event_id AS doc_id, json_keys(props)[1] AS text FROM events WHERE len(json_keys(props)) > 0")
