@@ -35,3 +35,22 @@ def test_query_takes_what_it_needs(spark, small, monkeypatch, name):
     monkeypatch.setattr(queries, "nodes", lambda *a, **k: seen.append(nodes(*a, **k)) or seen[-1])
     queries.QUERIES[name](spark, small)
     assert set(seen[0].columns) == {"doc_id"} | WANTED[name]
+
+
+def test_trees_of_some_columns(spark):
+    """Patterns over trees that keep only what matching needs find what they find in whole trees, in documents without nodes too."""
+    from treeloom.operators import extract, squery
+    from treeloom.operators.nodes import trees
+
+    sources = spark.createDataFrame([*ROWS, (7, "html", "<i>" * 300), (8, "html", "")], "doc_id long, language string, text string")
+    some = trees(sources, columns=squery.MATCHED)
+    assert {f.name for f in some.schema["nodes"].dataType.elementType} == set(squery.MATCHED)
+    config = {"language": "html", "patterns": {"t": {"query": "[(start_tag (tag_name) @t) (attribute) @t (ERROR) @t]", "capture_output": "Text"}}}
+    key = lambda r: r.doc_id
+    got = sorted(extract.extract_from_trees(some.withColumn("nodes", F.when(F.col("doc_id") != 8, F.col("nodes"))), config).collect(), key=key)
+    assert got == sorted(extract.extract_patterns(sources.where("doc_id != 8"), config).collect(), key=key)
+    shown = trees(sources, columns=squery.SHOWN)
+    q = "((tag_name) @n (#eq? @n \"b\"))"
+    assert squery.run_query_on_trees(shown, "html", q).collect() == squery.run_query(sources, "html", q).collect() != []
+    with pytest.raises(ValueError, match="columns"):
+        trees(sources, columns=["nothing"])

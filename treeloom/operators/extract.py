@@ -12,7 +12,7 @@ from treeloom.plans.config import ExtractionConfig, ExtractionPattern
 from treeloom.plans.errors import QueryError
 
 from .nodes import from_trees, parsed
-from .squery import NODE, Compiled, Matcher, compile_query, node_struct, of_language
+from .squery import MATCHED, NODE, SHOWN, Compiled, Matcher, compile_query, node_struct, of_language
 
 _CAPTURE = pa.struct([("name", pa.string()), ("node", NODE), ("text", pa.string()), ("child_fields", pa.map_(pa.string(), pa.string())), ("start_byte", pa.int64())])
 MATCH = pa.list_(pa.struct([("pattern_index", pa.int64()), ("captures", pa.list_(_CAPTURE))]))
@@ -75,7 +75,8 @@ def extract_patterns(sources: DataFrame, config: ExtractionConfig | dict) -> Dat
 def extract_from_trees(trees: DataFrame, config: ExtractionConfig | dict) -> DataFrame:
     """The same from trees (doc_id, language, raw, nodes) that have been parsed before; nothing is parsed again."""
     config = ExtractionConfig.of(config)
-    return from_trees(trees.where(F.col("language") == resolve_alias(config.language)), RESULT, _rows(compile_extraction(config)), _ARROW)
+    whole = any(p.capture_output != "Text" for p in config.patterns.values())
+    return from_trees(trees.where(F.col("language") == resolve_alias(config.language)), RESULT, _rows(compile_extraction(config)), _ARROW, SHOWN if whole else MATCHED)
 
 
 _ARROW = [("doc_id", pa.int64()), ("pattern_name", pa.string()), ("total_count", pa.int64()), ("matches", MATCH)]

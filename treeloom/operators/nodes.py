@@ -33,7 +33,6 @@ STRUCTURE: dict[str, str] = {
 #: Beside the node's own columns: ids of its name, body and type fields and next named sibling, of the item it
 #: lies in, and whether the walk that collects items reaches it (below an item it goes on in the body alone).
 LINKS = [("name_id", "bigint"), ("fallback_name_id", "bigint"), ("body_id", "bigint"), ("type_id", "bigint"), ("source_id", "bigint"), ("next_named_id", "bigint"), ("item_id", "bigint"), ("reached", "boolean")]
-TREE_NODE = "struct<" + ",".join(f"{n}:{t}" for n, t in [*S.TREE_FIELDS, *LINKS]) + ">"
 _TYPES = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
 _NAMES = [n for n, _ in S.TREE_FIELDS]
 
@@ -234,7 +233,7 @@ RANGE = pa.struct([
 ])
 
 
-def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | None = None, extractions: dict | None = None, want_nodes: bool = True) -> DataFrame:
+def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | None = None, extractions: dict | None = None, want_nodes: bool = True, columns: Collection[str] | None = None) -> DataFrame:
     """doc_id, language, raw, text, nodes, sexp, ranges, extractions: each source with its nodes and their links as one array.
 
     What is local to a document can then be asked with higher-order functions
@@ -242,12 +241,18 @@ def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | Non
     slices are taken from. The last three columns are null unless asked for: the
     S-expression, the byte ranges of chunks with what is in them, and the
     results of compiled patterns by name. All come from the one parse, and
-    leave it as Arrow columns; nodes don't leave it where they aren't wanted.
+    leave it as Arrow columns; nodes don't leave it where they aren't wanted,
+    and have only ``columns`` where these are given.
     """
     from . import chunk, extract
 
     small_batches(sources.sparkSession)
-    fields = [*S.TREE_FIELDS, *LINKS]
+    fields = [(n, t) for n, t in [*S.TREE_FIELDS, *LINKS] if columns is None or n in columns]
+    if columns is not None and len(fields) != len(set(columns)):
+        raise ValueError(f"columns must be some of {', '.join(n for n, _ in [*S.TREE_FIELDS, *LINKS])}")
+    linked = chunk_max_size is not None or want_nodes and any(f in LINKS for f in fields)
+    # What is made beside the nodes needs more of them.
+    wanted = None if columns is None or linked or want_sexp or extractions is not None else frozenset(n for n, _ in fields)
     added = dict(R._ADDED)
     result = pa.map_(pa.string(), pa.struct([("matches", extract.MATCH), ("total_count", pa.int64())]))
 
@@ -263,8 +268,8 @@ def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | Non
             ids, langs, raws, sexps, ranges, found, ends, cols = [], [], [], [], [], [], [0], {n: [] for n, _ in fields}
             for d, lang, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 raw = text.encode()
-                c = parse_one(lang, raw, known)
-                if want_nodes or chunk_max_size is not None:
+                c = parse_one(lang, raw, known, wanted)
+                if linked:
                     c = {**c, **links(c)}
                 if want_nodes:
                     for n, _ in fields:
@@ -272,7 +277,7 @@ def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | Non
                 ids.append(d)
                 langs.append(lang)
                 raws.append(raw)
-                ends.append(len(cols["kind"]))
+                ends.append(len(cols[fields[0][0]]))
                 sexps.append(sexp(c) if want_sexp else None)
                 ranges.append(chunk.described(c, raw, chunk.split_code(raw, chunk.starts_by_depth(c), chunk_max_size)) if chunk_max_size is not None else None)
                 found.append([(name, {"matches": m, "total_count": total}) for name, total, m in extract.extract_one(extractions, c, raw)] if extractions is not None else None)
@@ -283,32 +288,56 @@ def trees(sources: DataFrame, want_sexp: bool = False, chunk_max_size: int | Non
 
     span = "struct<start_byte:bigint,end_byte:bigint,start_line:bigint,start_column:bigint,end_line:bigint,end_column:bigint>"
     ranges_ = f"array<struct<start_byte:bigint,end_byte:bigint,start_line:bigint,end_line:bigint,node_types:array<string>,context_path:array<string>,symbols_defined:array<string>,comments:array<struct<text:string,kind:string,span:{span},associated_node:string>>,has_error_nodes:boolean>>"
-    schema = f"doc_id bigint, language string, raw binary, nodes array<{TREE_NODE}>, sexp string, ranges {ranges_}, extractions map<string,struct<matches:{extract.MATCHES},total_count:bigint>>"
+    schema = f"doc_id bigint, language string, raw binary, nodes array<struct<{','.join(f"{n}:{t}" for n, t in fields)}>>, sexp string, ranges {ranges_}, extractions map<string,struct<matches:{extract.MATCHES},total_count:bigint>>"
     out = normal(sources).where("error is null").select("doc_id", "language", "text").mapInArrow(run, schema)
     return out.select("doc_id", "language", "raw", F.col("raw").cast("string").alias("text"), "nodes", "sexp", "ranges", "extractions")
 
 
-def from_trees(trees_: DataFrame, schema: str, rows: Callable[[int, str, bytes, dict], Iterator[tuple]], arrow: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """Run ``rows(doc_id, language, raw, columns)`` over trees that have been parsed before, from a table of them, say."""
+def from_trees(trees_: DataFrame, schema: str, rows: Callable[[int, str, bytes, dict], Iterator[tuple]], arrow: list[tuple[str, pa.DataType]], columns: Collection[str] = tuple(_NAMES)) -> DataFrame:
+    """Run ``rows(doc_id, language, raw, columns)`` over trees that have been parsed before, from a table of them, say.
+
+    Only the named columns of nodes are read and sent to Python, each as an array of its own.
+    """
     small_batches(trees_.sparkSession)
+    columns = list(columns)
 
     def run(batches):
         names = [n for n, _ in arrow]
         for b in batches:
             out: list[list] = [[] for _ in arrow]
             ids, langs, raws = (b.column(i).to_pylist() for i in range(3))
-            tree = b.column(3)
-            tree = tree.combine_chunks() if isinstance(tree, pa.ChunkedArray) else tree
-            for k, (d, lang, raw) in enumerate(zip(ids, langs, raws)):
-                if not tree[k].is_valid:
-                    continue
-                own = tree[k].values
-                for row in rows(d, lang, raw, {n: own.field(n).to_pylist() for n in _NAMES}):
-                    for col, v in zip(out, row):
-                        col.append(v)
+            lists = {n: b.column(3 + k) for k, n in enumerate(columns)}
+            there = lists[columns[0]].is_valid().to_pylist()
+            ends = {n: x.offsets.to_pylist() for n, x in lists.items()}
+            first = ends[columns[0]]
+            at = 0
+            while at < len(ids):
+                # Documents of so many nodes together, one at least, are turned into lists at once.
+                to = at + 1
+                while to < len(ids) and first[to + 1] - first[at] <= 50_000:
+                    to += 1
+                values = {n: _values(x.values[ends[n][at] : ends[n][to]]) for n, x in lists.items()}
+                for k in range(at, to):
+                    if not there[k]:
+                        continue
+                    a, z = first[k] - first[at], first[k + 1] - first[at]
+                    for row in rows(ids[k], langs[k], raws[k], {n: x[a:z] for n, x in values.items()}):
+                        for col, v in zip(out, row):
+                            col.append(v)
+                at = to
             yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, arrow)], names)
 
-    return trees_.select("doc_id", "language", "raw", "nodes").mapInArrow(run, schema)
+    return trees_.select("doc_id", "language", "raw", *(F.col(f"nodes.{n}").alias(n) for n in columns)).mapInArrow(run, schema)
+
+
+def _values(a: pa.Array) -> list:
+    """The array's values, without an object of Arrow for each."""
+    if pa.types.is_string(a.type) or pa.types.is_large_string(a.type):
+        d = a.dictionary_encode()
+        words = [*d.dictionary.to_pylist(), None]
+        return [words[i] for i in d.indices.fill_null(len(words) - 1).to_numpy().tolist()]
+    values = a.fill_null(False if pa.types.is_boolean(a.type) else 0).to_numpy(zero_copy_only=False).tolist()
+    return values if not a.null_count else [x if ok else None for x, ok in zip(values, a.is_valid().to_numpy(zero_copy_only=False).tolist())]
 
 
 def parse_errors(sources: DataFrame) -> DataFrame:

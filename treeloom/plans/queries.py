@@ -539,7 +539,7 @@ def json_tree_metrics(s, d):
 
 @query("SELECT page_id AS doc_id, len(t)::BIGINT AS total_count, array_to_string(t, ',') AS tags FROM (SELECT page_id, regexp_extract_all(" + _BARE + ", '<([a-z0-9]+)[ >/]', 1) AS t FROM pages)")
 def html_extract_from_trees(s, d):
-    kept = trees(_pages(s, d))
+    kept = trees(_pages(s, d), columns=squery.MATCHED)
     m = extract.extract_from_trees(kept, {"language": "html", "patterns": {"tags": {"query": "[(start_tag (tag_name) @t) (self_closing_tag (tag_name) @t)]", "capture_output": "Text"}}})
     return m.select("doc_id", "total_count", F.array_join(F.transform("matches", lambda x: x.captures[0].text), ",").alias("tags"))
 
