@@ -90,3 +90,18 @@ def test_validation():
 def test_run_query_rows(spark):
     got = squery.run_query(sources(spark, PY, "y = 1\n"), "python", "(function_definition name: (identifier) @name)").orderBy("doc_id", "match_seq").collect()
     assert [(r.doc_id, r.match_seq, r.captures[0].name, r.captures[0].node.kind) for r in got] == [(0, 0, "name", "identifier"), (0, 1, "name", "identifier")]
+
+
+@pytest.mark.parametrize("query, kinds", [("((tag_name) @n (#eq? @n \"b\"))", {"tag_name"}), ("[(start_tag (tag_name) @t) (text) @t \"<\" @t]", {"start_tag", "text", "<"}), ("[(text) (_)] @x", None), ("(MISSING) @m", None)])
+def test_only_nodes_of_root_kinds_are_tried(monkeypatch, query, kinds):
+    from treeloom.operators.squery import Matcher, compile_query
+
+    raw = b"<p>a<br><b>c</b> d"
+    c = parse_one("html", raw)
+    q = compile_query("html", query)
+    assert Matcher(c, raw).root_kinds(q.patterns[0]) == kinds
+    tried = set(Matcher(c, raw).starts(q.patterns[0]))
+    assert tried == {i for i, k in enumerate(c["kind"]) if kinds is None or k in kinds}
+    found = Matcher(c, raw).matches(q)
+    monkeypatch.setattr(Matcher, "root_kinds", lambda self, p: None)
+    assert Matcher(c, raw).matches(q) == found

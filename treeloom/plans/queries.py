@@ -547,7 +547,7 @@ def html_extract_from_trees(s, d):
 @query(r"SELECT page_id AS doc_id, len(regexp_extract_all(" + _BARE + r""", ' (class|lang|charset|id|src|alt)="[^"]*"', 1))::BIGINT AS n FROM pages WHERE n > 0""")
 def html_predicates_negated(s, d):
     q = '((attribute (attribute_name) @n) (#not-eq? @n "href") (#not-match? @n "^data") (#any-of? @n "class" "lang" "charset" "id" "src" "alt"))'
-    m = squery.run_query_on_trees(trees(_pages(s, d)), "html", q)
+    m = squery.run_query_on_trees(trees(_pages(s, d), columns=squery.SHOWN), "html", q)
     return m.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
